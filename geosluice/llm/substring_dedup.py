@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .words import rolling, slices, words
+from .words import mix, rolling, slices, words
 
 #: Difference covers by modulus.
 COVERS = {
@@ -38,7 +38,8 @@ COVERS = {
     31: (1, 5, 11, 24, 25, 27),
 }
 SENT = "bucket int, hash binary, doc binary, place binary"
-FOUND = "doc_id long, no_id boolean, places binary"
+PACKED = "part int, doc binary, lost binary, place binary"
+FOUND = "found_id long, no_id boolean, places binary"
 #: The filter of repeated anchors is broadcast up to this size; beyond it, anchors are joined.
 FILTER_BYTES = 64 << 20
 FILTER_BITS = 16
@@ -119,29 +120,51 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.record_batch([pa.array(b, pa.int32()), pa.array(h, pa.binary()), pa.array(d, pa.binary()), pa.array(p, pa.binary())], ["bucket", "hash", "doc", "place"])
 
 
-def _met(t: pa.Table) -> pa.Table:
-    """Of one hash range, the places whose hash came more than once."""
-    hashes, docs, places, done = [], [], [], []
-    for h, d, p in zip(t["hash"].to_pylist(), t["doc"].to_pylist(), t["place"].to_pylist()):
-        if h is None:
-            doc, lost = np.frombuffer(d, "<i8").tolist()
-            done.append((doc, bool(lost), p))
-        else:
-            hashes.append(np.frombuffer(h, np.uint64))
-            docs.append(np.frombuffer(d, "<i8"))
-            places.append(np.frombuffer(p, "<i4"))
-    if hashes:
-        h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-        order = np.argsort(h, kind="stable")
-        h, d, p = h[order], d[order], p[order]
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
-        same[:-1] |= h[1:] == h[:-1]
-        hit = same & (p != -1)
-        ids, gone, blobs = _runs(d[hit], p[hit] < -1, np.where(p[hit] < -1, -2 - p[hit], p[hit]))
-        done += list(zip(ids.tolist(), gone.tolist(), blobs))
-    doc, lost, blob = zip(*done) if done else ((), (), ())
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "no_id": pa.array(lost, pa.bool_()), "places": pa.array(blob, pa.binary())})
+def _met(parts: int):
+    """Of one hash range, the places whose hash came more than once, packed by ranges of documents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        hashes, docs, places, done = [], [], [], []
+        for h, d, p in zip(t["hash"].to_pylist(), t["doc"].to_pylist(), t["place"].to_pylist()):
+            if h is None:
+                doc, lost = np.frombuffer(d, "<i8").tolist()
+                p = np.frombuffer(p, "<i4")
+                done.append((np.full(len(p), doc), np.full(len(p), bool(lost)), p))
+            else:
+                hashes.append(np.frombuffer(h, np.uint64))
+                docs.append(np.frombuffer(d, "<i8"))
+                places.append(np.frombuffer(p, "<i4"))
+        if hashes:
+            h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+            order = np.argsort(h, kind="stable")
+            h, d, p = h[order], d[order], p[order]
+            same = np.zeros(len(h), bool)
+            same[1:] = h[1:] == h[:-1]
+            same[:-1] |= h[1:] == h[:-1]
+            hit = same & (p != -1)
+            done.append((d[hit], p[hit] < -1, np.where(p[hit] < -1, -2 - p[hit], p[hit])))
+        doc, lost, place = (np.concatenate(c) for c in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
+        to = _bucket(mix(doc.astype(np.uint64)), parts)
+        order = np.lexsort((place, doc, to))
+        doc, lost, place, to = doc[order], lost[order], place[order], to[order]
+        cuts = np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1) if len(to) else []
+        return pa.table(
+            {
+                "part": pa.array([int(to[x[0]]) for x in cuts], pa.int32()),
+                "doc": pa.array([doc[x].astype("<i8").tobytes() for x in cuts], pa.binary()),
+                "lost": pa.array([lost[x].astype(bool).tobytes() for x in cuts], pa.binary()),
+                "place": pa.array([place[x].astype("<i4").tobytes() for x in cuts], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    """One row of places for each document of a range."""
+    doc, lost, place = (np.concatenate([np.frombuffer(x, d) for x in t[c].to_pylist()]) for c, d in (("doc", "<i8"), ("lost", bool), ("place", "<i4")))
+    ids, gone, blobs = _runs(doc, lost, place)
+    return pa.table({"found_id": pa.array(ids, pa.int64()), "no_id": pa.array(gone, pa.bool_()), "places": pa.array(blobs, pa.binary())})
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +172,9 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return col.fill_null(0).to_numpy(zero_copy_only=False), col.is_null().to_numpy(zero_copy_only=False)
 
 
-def _repeated(sent: DataFrame) -> DataFrame:
-    """(doc_id, no_id, places) of the places whose hash occurs elsewhere; several rows for a document."""
-    return sent.groupBy("bucket").applyInArrow(_met, FOUND)
+def _repeated(sent: DataFrame, parts: int) -> DataFrame:
+    """(found_id, no_id, places) of the places whose hash occurs elsewhere, one row for a document."""
+    return sent.groupBy("bucket").applyInArrow(_met(parts), PACKED).groupBy("part").applyInArrow(_gather, FOUND)
 
 
 class Bloom:
@@ -178,7 +201,7 @@ class Bloom:
 
 
 def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(doc_id, no_id, places): starts, as packed int32, of the windows that occur elsewhere too."""
+    """(found_id, no_id, places): starts, as packed int32, of the windows that occur elsewhere too."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     modulus = cover_for(span)
@@ -195,7 +218,7 @@ def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_
                     yield _rows(_send(p.whole[at], ids[a:b][p.row[at]], gone[a:b][p.row[at]], p.place[at], buckets))
 
     if not modulus:  # windows too short for anchors: each is compared
-        return _repeated(docs.mapInArrow(all_windows, SENT))
+        return _repeated(docs.mapInArrow(all_windows, SENT), buckets)
 
     def anchors(with_places: bool):
         def run(batches):
@@ -255,31 +278,27 @@ def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_
                     if len(at):
                         yield _rows(_send(p.whole[at], ids[a:b][p.row[at]], gone[a:b][p.row[at]], p.place[at], buckets))
 
-        return _repeated(docs.mapInArrow(candidates, SENT))
+        return _repeated(docs.mapInArrow(candidates, SENT), buckets)
 
     def joined(batches):
         for batch in batches:
             ids, gone = _ids(batch)
             for i in range(batch.num_rows):
                 p = Places(batch.column(1).slice(i, 1), span)
-                at = np.unique(np.frombuffer(b"".join(batch.column(2)[i].as_py()), "<i4"))
+                at = np.unique(np.frombuffer(batch.column(2)[i].as_py(), "<i4"))
                 at = p.windows(at[at < len(p.place)].astype(np.int64), modulus)
                 if len(at):
                     yield _rows(_send(p.whole[at], np.full(len(at), ids[i]), np.full(len(at), gone[i]), p.place[at], buckets))
 
-    found = per_document(_repeated(docs.mapInArrow(anchors(True), SENT)))
+    found = _repeated(docs.mapInArrow(anchors(True), SENT), buckets)
     both = docs.join(found, (F.coalesce("doc_id", F.lit(0)) == F.col("found_id")) & (F.col("doc_id").isNull() == F.col("no_id")))
-    return _repeated(both.select("doc_id", "text", "places").mapInArrow(joined, SENT))
-
-
-def per_document(found: DataFrame) -> DataFrame:
-    return found.groupBy(F.col("doc_id").alias("found_id"), "no_id").agg(F.collect_list("places").alias("places"))
+    return _repeated(both.select("doc_id", "text", "places").mapInArrow(joined, SENT), buckets)
 
 
 def substring_dedup(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the kept words joined by single spaces (kept_text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = per_document(repeated_starts(docs, span, filter_bytes))
+    found = repeated_starts(docs, span, filter_bytes)
     both = docs.join(found, (F.coalesce("doc_id", F.lit(0)) == F.col("found_id")) & (F.col("doc_id").isNull() == F.col("no_id")), "left")
 
     def keep(batches):
@@ -291,7 +310,7 @@ def substring_dedup(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_
                 gone = np.zeros(len(w.hash) + 1, np.int32)
                 for i, places in enumerate(part.column(2).to_pylist()):
                     if places:
-                        s = np.unique(np.frombuffer(b"".join(places), "<i4")).astype(np.int64)
+                        s = np.unique(np.frombuffer(places, "<i4")).astype(np.int64)
                         s = s[s + span <= n[i]] + w.bounds[i]
                         np.add.at(gone, s, 1)
                         np.add.at(gone, s + span, -1)
