@@ -11,10 +11,10 @@ both documents are indexed under that combination.  Sets of more than
 `combine_up_to` tokens would make too many combinations, so they, and those
 within the size ratio below that bound, are indexed under single heavy tokens.
 
-Candidates are then verified on whole sets.  As components are asked for, a
-first pass verifies each index entry's members against its smallest document;
-a second pass verifies all remaining pairs of an entry whose members are not
-connected yet.  Pairs within a component need no look, so groups of copies cost
+Candidates are then verified on whole sets.  As components are asked for, the
+first passes verify each index entry's members against one of its documents, by
+turns; the last pass verifies all remaining pairs of an entry whose members are
+not connected yet.  Pairs within a component need no look, so groups of copies cost
 their size, not its square, and no link between different components is lost.
 
 Cases: null and empty texts have empty sets, linked with nothing; equal sets
@@ -39,6 +39,8 @@ HEAVY_FROM = 128
 COMBINE_UP_TO = 400
 #: Document ids are broadcast up to this many; beyond it, they are joined.
 MOST_IDS = 2 << 20
+#: Passes with another document of each entry as its centre, before the remaining pairs are looked at.
+STAR_TURNS = 3
 SHIFT = np.uint64(24)
 
 
@@ -111,11 +113,11 @@ def heavy_tokens(docs: DataFrame, k: int, heavy_from: int, buckets: int) -> np.n
     return np.sort(rows["token"].to_numpy().astype(np.uint64))
 
 
-def entries_of(s: np.ndarray, heavy: np.ndarray, percent: int, combine_up_to: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of one set and the position of each in its order; -1 for combinations."""
+def entries_of(s: np.ndarray, heavy: np.ndarray, percent: int, combine_up_to: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index keys of one set, the position of each in its order (-1 for combinations), and the heavy tokens of the prefix."""
     n = len(s)
     if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
     most = n - int(smallest_overlap(np.int64(n), percent)) + 2
     is_heavy = np.zeros(n, bool)
     if len(heavy):
@@ -133,11 +135,11 @@ def entries_of(s: np.ndarray, heavy: np.ndarray, percent: int, combine_up_to: in
         if n * 100 >= combine_up_to * percent:
             keys.append(dense)
             place.append(np.arange(len(light), len(light) + len(dense), dtype=np.int32))
-    return np.concatenate(keys), np.concatenate(place)
+    return np.concatenate(keys), np.concatenate(place), len(dense)
 
 
 def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combine_up_to: int) -> DataFrame:
-    """(key, doc_id, n, place) of the index entries that have two documents at least."""
+    """(key, doc_id, n, place, dense) of the index entries that have two documents at least."""
     spark = docs.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = spark.sparkContext.broadcast(heavy_tokens(docs, k, heavy_from, buckets))
@@ -146,20 +148,20 @@ def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combin
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for x, y in slices(batch.column(1), 8 << 20):
-                seen, keys, owner, place, size = set(), [], [], [], []
+                seen, keys, owner, place, size, dense = set(), [], [], [], [], []
                 for doc, s in zip(ids[x:y].tolist(), _sets(batch.column(1).slice(x, y - x), k)):
                     mark = s.tobytes()
                     if mark in seen:  # a copy here; equal sets are linked elsewhere
                         continue
                     seen.add(mark)
-                    e, p = entries_of(s, known.value, percent, combine_up_to)
+                    e, p, d = entries_of(s, known.value, percent, combine_up_to)
                     keys.append(e)
                     place.append(p)
                     owner.append(np.full(len(e), doc, "<i8"))
                     size.append(np.full(len(e), len(s), "<i4"))
-                h, owner, place, size = np.concatenate(keys), np.concatenate(owner), np.concatenate(place), np.concatenate(size)
-                order = np.argsort(h, kind="stable")
-                h, owner, place, size = h[order], owner[order], place[order], size[order]
+                    dense.append(np.full(len(e), d, "<i4"))
+                order = np.argsort(np.concatenate(keys), kind="stable")
+                h, owner, place, size, dense = (np.concatenate(c)[order] for c in (keys, owner, place, size, dense))
                 later = np.zeros(len(h), bool)
                 later[1:] = h[1:] == h[:-1]
                 many = np.zeros(len(h), np.int8)
@@ -171,13 +173,13 @@ def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combin
                     for at in np.array_split(at, np.flatnonzero(np.diff(b[at])) + 1) if not extra else [at]:
                         if len(at):
                             to = int(owner[at[0]] % buckets) if extra else int(b[at[0]])
-                            rows.append((to, extra, h[at].tobytes(), owner[at].tobytes(), size[at].tobytes(), place[at].astype("<i4").tobytes(), many[at].tobytes()))
+                            rows.append((to, extra, h[at].tobytes(), owner[at].tobytes(), size[at].tobytes(), place[at].astype("<i4").tobytes(), dense[at].tobytes(), many[at].tobytes()))
                 if rows:
                     cols = list(zip(*rows))
-                    yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "extra", "h", "doc", "n", "place", "many"])
+                    yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "extra", "h", "doc", "n", "place", "dense", "many"])
 
     def meet(t: pa.Table) -> pa.Table:
-        cols = {c: [np.frombuffer(v, d) for v in t[c].to_pylist()] for c, d in (("h", np.uint64), ("doc", "<i8"), ("n", "<i4"), ("place", "<i4"), ("many", np.int8))}
+        cols = {c: [np.frombuffer(v, d) for v in t[c].to_pylist()] for c, d in (("h", np.uint64), ("doc", "<i8"), ("n", "<i4"), ("place", "<i4"), ("dense", "<i4"), ("many", np.int8))}
         extra = np.repeat(t["extra"].to_numpy(), [len(v) for v in cols["h"]])
         c = {k: np.concatenate(v) for k, v in cols.items()}
         order = np.argsort(c["h"], kind="stable")
@@ -186,10 +188,10 @@ def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combin
         same[1:] = h[1:] == h[:-1]
         same[:-1] |= h[1:] == h[:-1]
         take = order[same | (c["many"][order] > 0) | extra[order]]
-        return pa.table({"key": c["h"][take].view(np.int64), "doc_id": c["doc"][take], "n": c["n"][take], "place": c["place"][take]})
+        return pa.table({"key": c["h"][take].view(np.int64), "doc_id": c["doc"][take], "n": c["n"][take], "place": c["place"][take], "dense": c["dense"][take]})
 
-    sent = docs.mapInArrow(emit, "bucket int, extra boolean, h binary, doc binary, n binary, place binary, many binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "key long, doc_id long, n int, place int")
+    sent = docs.mapInArrow(emit, "bucket int, extra boolean, h binary, doc binary, n binary, place binary, dense binary, many binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "key long, doc_id long, n int, place int, dense int")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -223,30 +225,56 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from:
     known = cut(known, "reps")
 
     members = cut(index_members(docs, k, percent, heavy_from, combine_up_to), "members")
-    members = cut(members.join(known, "doc_id").select("key", "n", "place", F.col("rep").alias("doc_id")).distinct(), "members")
-    fits = "100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)".format(p=percent)
-    # as the first token that two sets share, one at these places leaves room for the overlap that they need
-    fits += " and (place_a < 0 or 1 + least(n_a - place_a, n_b - place_b) - 1 >= ceil({p} * (n_a + n_b) / {q}))".format(p=percent, q=100 + percent)
-
-    leaders = cut(members.groupBy("key").agg(F.min(F.struct("doc_id", "n", "place")).alias("l")), "leaders")
-    star = members.join(leaders, "key").select(F.col("l.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"), F.col("l.place").alias("place_a"), F.col("place").alias("place_b"))
-    star = cut(star.where("a <> b").where(fits).select("a", "b").distinct(), "star")
+    members = cut(members.join(known, "doc_id").select("key", "n", "place", "dense", F.col("rep").alias("doc_id")).distinct(), "members")
     copies = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = cut(verify(docs, star, k, percent), "links")
-    part = components(links.union(copies))
-
-    labelled = members.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
-    labelled = cut(labelled.select("key", "n", "place", "doc_id", "c"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    open_ = cut(labelled.join(mixed, "key", "left_semi"), "mixed")
-    left = open_.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("c").alias("c_a"))
-    right = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("c").alias("c_b"))
-    rest = left.join(right, "key").where("a < b and c_a <> c_b").where(fits).select("a", "b").distinct()
-    rest = cut(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "rest")
-    more = cut(verify(docs, rest, k, percent), "more")
-    whole = components(links.union(copies).union(more)).withColumnRenamed("node", "doc_id")
+    links, part, open_ = copies, None, members.withColumn("c", F.col("doc_id"))
+    seen = docs.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(STAR_TURNS):
+        first = cut(open_.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "place", "dense", "c"), F.xxhash64("doc_id", F.lit(turn))).alias("l")), "leaders")
+        star = open_.join(first, "key").select("key", *_side("a", lambda c: F.col("l")[c]), *_side("b", F.col))
+        star = cut(_pairs(star, percent, 4).join(seen, ["a", "b"], "left_anti"), "star")
+        links = cut(links.union(verify(docs, star, k, percent)), "links")
+        seen = seen.union(star)
+        part = components(links)
+        open_ = cut(_open(members, part), "open")
+    left, right = open_.select("key", *_side("a", F.col)), open_.select("key", *_side("b", F.col))
+    rest = cut(_pairs(left.join(right, "key").where("a < b"), percent, 1).join(seen, ["a", "b"], "left_anti"), "rest")
+    whole = components(links.union(verify(docs, rest, k, percent))).withColumnRenamed("node", "doc_id")
     return sets.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _side(name: str, of) -> list:
+    return [of("doc_id").alias(name), *(of(c).alias(f"{c}_{name}") for c in ("n", "place", "dense", "c"))]
+
+
+def _open(members: DataFrame, part: DataFrame) -> DataFrame:
+    """Members, with their component c, of the entries whose members are not all connected."""
+    own = members.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = cut(own.select("key", "n", "place", "dense", "doc_id", F.coalesce("component", "doc_id").alias("c")), "labelled")
+    mixed = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    return own.join(mixed, "key", "left_semi")
+
+
+def _pairs(met: DataFrame, percent: int, ease: int) -> DataFrame:
+    """Distinct (a, b) of members that met, of different components, that can still be linked.
+
+    Sizes must be within the ratio, and the first token that two sets share must
+    leave room for the overlap that they need.  Then tokens are counted: the set whose
+    prefix ends first in the order has at most n - m tokens after it (m long), so the
+    others of the overlap are among the shared prefix tokens, heavy ones apart.
+    `ease` divides that need, where not all shared tokens can be seen."""
+    need = "ceil({p} * (n_a + n_b) / {q})".format(p=percent, q=100 + percent)
+    after = "(n_{s} - least(n_{s}, n_{s} - cast(ceil({p} * n_{s} / 100) as int) + 2))"
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and c_a <> c_b"
+    met = met.where(fits).select(
+        F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b"),
+        F.expr(f"place_a < 0 or least(n_a - place_a, n_b - place_b) >= {need}").alias("room"),
+        F.expr(f"{need} - greatest({after.format(s='a', p=percent)}, {after.format(s='b', p=percent)}) - least(dense_a, dense_b)").alias("need"),
+    )
+    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.bool_or("room").alias("room"))
+    return met.where(F.col("room") & (F.col("shared") * ease >= F.col("need"))).select("a", "b")
+
+
 def op8_ngram_jaccard_join(spark, sf_dir) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
