@@ -49,7 +49,11 @@ def smallest_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    return distinct(*shingles(words(texts, lower=True), k))
+    """The shingle set of each text; work arrays are of a megabyte of text at a time."""
+    out: list[np.ndarray] = []
+    for x, y in slices(texts, 1 << 20):
+        out += distinct(*shingles(words(texts.slice(x, y - x), lower=True), k))
+    return out
 
 
 def _ranges(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -82,7 +86,7 @@ def heavy_tokens(docs: DataFrame, k: int, heavy_from: int, buckets: int) -> np.n
 
     def count(batches):
         for batch in batches:
-            for x, y in slices(batch.column(1), 8 << 20):
+            for x, y in slices(batch.column(1), 4 << 20):
                 h = np.sort(np.concatenate(_sets(batch.column(1).slice(x, y - x), k)))
                 h = h[: np.searchsorted(h, np.uint64(1 << 63))]
                 b = _ranges(h << np.uint64(1), buckets)
@@ -147,7 +151,7 @@ def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combin
     def emit(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for x, y in slices(batch.column(1), 8 << 20):
+            for x, y in slices(batch.column(1), 4 << 20):
                 seen, keys, owner, place, size, dense = set(), [], [], [], [], []
                 for doc, s in zip(ids[x:y].tolist(), _sets(batch.column(1).slice(x, y - x), k)):
                     mark = s.tobytes()
