@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .graph import components
 from .words import distinct, mix, shingles, slices, words
 
@@ -205,7 +205,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for x, y in slices(batch.column(3), 4 << 20):
+            for x, y in slices(batch.column(3), 1 << 20):
                 left, right = (_sets(batch.column(c).slice(x, y - x), k) for c in (2, 3))
                 ok = np.zeros(y - x, bool)
                 for i, (s, t) in enumerate(zip(left, right)):
@@ -222,6 +222,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from: int = HEAVY_FROM, combine_up_to: int = COMBINE_UP_TO) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     sets = cut(set_keys(docs, k), "sets")
     docs = docs.where("doc_id is not null")
     first = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))
