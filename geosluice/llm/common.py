@@ -58,9 +58,10 @@ def id_or_null(name: str):
     return F.col(name).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most `rows` rows in an Arrow batch of the session from now on: long texts then need less of a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """At most `rows` rows and about `size` in an Arrow batch of the session from now on: long texts then need less of a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

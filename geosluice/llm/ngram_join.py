@@ -13,9 +13,14 @@ within the size ratio below that bound, are indexed under single heavy tokens.
 
 Candidates are then verified on whole sets.  As components are asked for, the
 first passes verify each index entry's members against one of its documents, by
-turns; the last pass verifies all remaining pairs of an entry whose members are
-not connected yet.  Pairs within a component need no look, so groups of copies cost
-their size, not its square, and no link between different components is lost.
+turns.  Of the entries whose members are not connected yet, short ones have all
+their remaining pairs verified.  Long ones (of more than LONG_ENTRY documents, met
+where a template has many variants near the threshold) are brought together by a
+shared leader, their documents dealt into blocks, and each two blocks compared in
+one task by a product of their token matrices, which returns a spanning forest of
+the links: a block's pairs are never rows.  Pairs within a component need no look
+in the other passes, so groups of copies cost their size, not its square there, and
+no link between different components is lost.
 
 Cases: null and empty texts have empty sets, linked with nothing; equal sets
 are linked without a join; rows with a null doc_id take no part and come back
@@ -41,6 +46,12 @@ COMBINE_UP_TO = 400
 MOST_IDS = 2 << 20
 #: Passes with another document of each entry as its centre, before the remaining pairs are looked at.
 STAR_TURNS = 3
+#: Entries with more open documents than this are compared in blocks.
+LONG_ENTRY = 64
+#: A block has about this many documents, and about this many shingles, whichever makes more blocks.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 18
+#: Columns of a token matrix at a time.
+MATRIX_TOKENS = 4096
 SHIFT = np.uint64(24)
 
 
@@ -219,6 +230,81 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def shared_tokens(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at `left` with those at `right`."""
+    token, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    many = count[at] > 1
+    at, owner = column[at[many]], owner[many]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, MATRIX_TOKENS):
+        x, y = np.searchsorted(at, (low, low + MATRIX_TOKENS))
+        m = np.zeros((len(sets), MATRIX_TOKENS), np.float32)
+        m[owner[x:y], at[x:y] - low] = 1
+        out += (m[left] @ m[right].T).astype(np.int64)
+    return out
+
+
+def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a forest with the components of a symmetric boolean matrix."""
+    open_, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        todo = [root] if open_[root] else []
+        open_[root] = False
+        while todo:
+            v = todo.pop()
+            new = np.flatnonzero(linked[v] & open_)
+            open_[new] = False
+            out += [(v, w) for w in new.tolist()]
+            todo += new.tolist()
+    return out
+
+
+def link_blocks(docs: DataFrame, open_: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever the long entries of open_ connect.
+
+    An entry's group is named by one of its documents, that of the lowest hash, so
+    entries with much the same members mostly share it; a group whose name is in
+    a larger group joins that one.  A group of b blocks sends each document to b
+    tasks.  Any two documents of an entry meet in one of them."""
+    long = open_.groupBy("key").agg(F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(STAR_TURNS))).alias("leader")).where(F.col("size") > LONG_ENTRY)
+    met = cut(open_.join(long.select("key", "leader"), "key").select("leader", "doc_id", "n").distinct(), "met")
+    size = met.groupBy("leader").agg(F.count("*").alias("docs"))
+    larger = met.join(size, "leader").groupBy("doc_id").agg(F.max(F.struct("docs", F.col("leader").alias("group"))).alias("g"))
+    named = larger.select(F.col("doc_id").alias("leader"), F.col("g.group").alias("group"))
+    met = cut(met.join(named, "leader").select("group", "doc_id", "n").distinct(), "groups")
+    blocks = met.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = met.join(blocks, "group").select("group", "doc_id", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(-1)), "blocks").cast("int").alias("block"))
+    ids = cut(met.select("doc_id").distinct(), "ids")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
+
+    def to_sets(batches):
+        for batch in batches:
+            for x, y in slices(batch.column(1), 1 << 20):
+                sets = _sets(batch.column(1).slice(x, y - x), k)
+                yield pa.record_batch([batch.column(0).slice(x, y - x), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "tokens"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids = t["doc_id"].to_numpy()
+        sets = [np.frombuffer(v, np.uint64) for v in t["tokens"].to_pylist()]
+        n = np.array([len(s) for s in sets])
+        block = t["block"].to_numpy()
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        both = shared_tokens(sets, left, right)
+        linked = np.zeros((len(ids), len(ids)), bool)
+        linked[np.ix_(left, right)] = (both > 0) & (100 * both >= percent * (n[left][:, None] + n[right] - both))
+        edges = np.array(spanning_forest(linked | linked.T), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+
+    sets = texts.mapInArrow(to_sets, "doc_id long, tokens binary").join(dealt, "doc_id")
+    sent = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "tokens")
+    return sent.groupBy("group", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from: int = HEAVY_FROM, combine_up_to: int = COMBINE_UP_TO) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -242,7 +328,9 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from:
         seen = seen.union(star)
         part = components(links)
         open_ = cut(_open(members, part), "open")
-    left, right = open_.select("key", *_side("a", F.col)), open_.select("key", *_side("b", F.col))
+    links = cut(links.union(link_blocks(docs, open_, k, percent)), "links")
+    short = open_.join(open_.groupBy("key").count().where(F.col("count") <= LONG_ENTRY).select("key"), "key", "left_semi")
+    left, right = short.select("key", *_side("a", F.col)), short.select("key", *_side("b", F.col))
     rest = cut(_pairs(left.join(right, "key").where("a < b"), percent, 1).join(seen, ["a", "b"], "left_anti"), "rest")
     whole = components(links.union(verify(docs, rest, k, percent))).withColumnRenamed("node", "doc_id")
     return sets.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
