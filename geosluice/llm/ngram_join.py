@@ -12,8 +12,8 @@ both documents are indexed under that combination.  Sets of more than
 within the size ratio below that bound, are indexed under single heavy tokens.
 
 Candidates are then verified on whole sets.  As components are asked for, the
-first passes verify each index entry's members against one of its documents, by
-turns.  Of the entries whose members are not connected yet, short ones have all
+first pass verifies each index entry's members against one of its documents.
+Of the entries whose members are not connected yet, short ones have all
 their remaining pairs verified.  Long ones (of more than LONG_ENTRY documents, met
 where a template has many variants near the threshold) are brought together by a
 shared leader, their documents dealt into blocks, and each two blocks compared in
@@ -45,7 +45,7 @@ COMBINE_UP_TO = 400
 #: Document ids are broadcast up to this many; beyond it, they are joined.
 MOST_IDS = 2 << 20
 #: Passes with another document of each entry as its centre, before the remaining pairs are looked at.
-STAR_TURNS = 3
+STAR_TURNS = 1
 #: Entries with more open documents than this are compared in blocks.
 LONG_ENTRY = 64
 #: A block has about this many documents, and about this many shingles, whichever makes more blocks.
