@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -84,6 +85,34 @@ def test_ngram_join(docs, odd, heavy, combine):
         assert got == components_brute(texts(df), 4, 85)
 
 
+def test_ngram_join_blocks(spark, monkeypatch):
+    """Variants of one text on both sides of the threshold: long entries, several blocks, wrong links nowhere."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(9999)}" for _ in range(80)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3, 4])):
+            w[rnd.randrange(80)] = f"x{rnd.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 64)
+    monkeypatch.setattr(ngram_join, "MATRIX_TOKENS", 128)
+    made = []
+    plain = ngram_join.link_blocks
+    monkeypatch.setattr(ngram_join, "link_blocks", lambda *a: made.append(plain(*a)) or made[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()}
+    assert got == components_brute(rows, 4, 85)
+    assert made[0].count() > 0
+
+
+def test_spanning_forest():
+    linked = np.zeros((6, 6), bool)
+    for a, b in ((0, 1), (1, 2), (0, 2), (4, 5)):
+        linked[a, b] = linked[b, a] = True
+    assert sorted(ngram_join.spanning_forest(linked)) == [(0, 1), (0, 2), (4, 5)]
+
+
 def test_ngram_join_without_id(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in ngram_join.ngram_components(df).collect()))) == ["(1, 2, 1)", "(1, 2, 1)", "(None, 2, None)"]
