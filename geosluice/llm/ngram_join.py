@@ -13,14 +13,15 @@ within the size ratio below that bound, are indexed under single heavy tokens.
 
 Candidates are then verified on whole sets.  As components are asked for, the
 first pass verifies each index entry's members against one of its documents.
-Of the entries whose members are not connected yet, short ones have all
-their remaining pairs verified.  Long ones (of more than LONG_ENTRY documents, met
-where a template has many variants near the threshold) are brought together by a
-shared leader, their documents dealt into blocks, and each two blocks compared in
-one task by a product of their token matrices, which returns a spanning forest of
-the links: a block's pairs are never rows.  Pairs within a component need no look
-in the other passes, so groups of copies cost their size, not its square there, and
-no link between different components is lost.
+Of the entries whose members are not connected yet, long ones (of more than
+LONG_ENTRY documents, met where a template has many variants near the threshold)
+are brought together by a shared leader, their documents dealt into blocks, and
+each two blocks compared in one task by a product of their token matrices, which
+returns a spanning forest of the links: a block's pairs are never rows.  Short ones
+have all their remaining pairs verified, but for pairs that met in a group of
+blocks.  Pairs within a component need no look in the other passes, so groups of
+copies cost their size, not its square there, and no link between different
+components is lost.
 
 Cases: null and empty texts have empty sets, linked with nothing; equal sets
 are linked without a join; rows with a null doc_id take no part and come back
@@ -47,9 +48,9 @@ MOST_IDS = 2 << 20
 #: Passes with another document of each entry as its centre, before the remaining pairs are looked at.
 STAR_TURNS = 1
 #: Entries with more open documents than this are compared in blocks.
-LONG_ENTRY = 64
+LONG_ENTRY = 256
 #: A block has about this many documents, and about this many shingles, whichever makes more blocks.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 18
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 #: Columns of a token matrix at a time.
 MATRIX_TOKENS = 4096
 SHIFT = np.uint64(24)
@@ -263,19 +264,25 @@ def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def link_blocks(docs: DataFrame, open_: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever the long entries of open_ connect.
+def block_groups(open_: DataFrame) -> DataFrame:
+    """(group, doc_id, n): the documents of the long entries of open_, those of one entry in one group at least.
 
     An entry's group is named by one of its documents, that of the lowest hash, so
     entries with much the same members mostly share it; a group whose name is in
-    a larger group joins that one.  A group of b blocks sends each document to b
-    tasks.  Any two documents of an entry meet in one of them."""
+    a larger group joins that one."""
     long = open_.groupBy("key").agg(F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(STAR_TURNS))).alias("leader")).where(F.col("size") > LONG_ENTRY)
     met = cut(open_.join(long.select("key", "leader"), "key").select("leader", "doc_id", "n").distinct(), "met")
     size = met.groupBy("leader").agg(F.count("*").alias("docs"))
     larger = met.join(size, "leader").groupBy("doc_id").agg(F.max(F.struct("docs", F.col("leader").alias("group"))).alias("g"))
     named = larger.select(F.col("doc_id").alias("leader"), F.col("g.group").alias("group"))
-    met = cut(met.join(named, "leader").select("group", "doc_id", "n").distinct(), "groups")
+    return cut(met.join(named, "leader").select("group", "doc_id", "n").distinct(), "groups")
+
+
+def link_blocks(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever links within the groups of met connect.
+
+    A group of b blocks sends each document to b tasks; any two of its documents
+    meet in one of them."""
     blocks = met.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = met.join(blocks, "group").select("group", "doc_id", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(-1)), "blocks").cast("int").alias("block"))
     ids = cut(met.select("doc_id").distinct(), "ids")
@@ -328,10 +335,17 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from:
         seen = seen.union(star)
         part = components(links)
         open_ = cut(_open(members, part), "open")
-    links = cut(links.union(link_blocks(docs, open_, k, percent)), "links")
-    short = open_.join(open_.groupBy("key").count().where(F.col("count") <= LONG_ENTRY).select("key"), "key", "left_semi")
-    left, right = short.select("key", *_side("a", F.col)), short.select("key", *_side("b", F.col))
-    rest = cut(_pairs(left.join(right, "key").where("a < b"), percent, 1).join(seen, ["a", "b"], "left_anti"), "rest")
+    met = block_groups(open_)
+    links = cut(links.union(link_blocks(docs, met, k, percent)), "links")
+    # what one group has compared is done: entries within a document's largest group, and pairs
+    main = met.join(met.groupBy("group").agg(F.count("*").alias("docs")), "group").groupBy("doc_id").agg(F.max(F.struct("docs", "group"))["group"].alias("main"))
+    own = cut(open_.join(main, "doc_id", "left"), "own")
+    entries = own.groupBy("key").agg(F.count("*").alias("size"), F.count("main").alias("dealt"), F.min("main").alias("x"), F.max("main").alias("y"))
+    entries = entries.where((F.col("size") <= LONG_ENTRY) & ~((F.col("dealt") == F.col("size")) & (F.col("x") == F.col("y"))))
+    short = own.join(entries.select("key"), "key", "left_semi")
+    left, right = (short.select("key", *_side(s, F.col), F.col("main").alias(f"main_{s}")) for s in "ab")
+    pairs = left.join(right, "key").where("a < b and coalesce(main_a <> main_b, true)")
+    rest = cut(_pairs(pairs, percent, 1).join(seen, ["a", "b"], "left_anti"), "rest")
     whole = components(links.union(verify(docs, rest, k, percent))).withColumnRenamed("node", "doc_id")
     return sets.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
