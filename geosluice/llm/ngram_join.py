@@ -157,7 +157,8 @@ def entries_of(s: np.ndarray, heavy: np.ndarray, percent: int, combine_up_to: in
 def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combine_up_to: int) -> DataFrame:
     """(key, doc_id, n, place, dense) of the index entries that have two documents at least."""
     spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of hashes, each met in one task: their number grows with the input
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     known = spark.sparkContext.broadcast(heavy_tokens(docs, k, heavy_from, buckets))
 
     def emit(batches):
@@ -195,16 +196,22 @@ def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combin
                     yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["bucket", "extra", "h", "doc", "n", "place", "dense", "many"])
 
     def meet(t: pa.Table) -> pa.Table:
-        cols = {c: [np.frombuffer(v, d) for v in t[c].to_pylist()] for c, d in (("h", np.uint64), ("doc", "<i8"), ("n", "<i4"), ("place", "<i4"), ("dense", "<i4"), ("many", np.int8))}
-        extra = np.repeat(t["extra"].to_numpy(), [len(v) for v in cols["h"]])
-        c = {k: np.concatenate(v) for k, v in cols.items()}
-        order = np.argsort(c["h"], kind="stable")
-        h = c["h"][order]
+        def column(c, d):  # one at a time, so that few copies are held together
+            return np.concatenate([np.frombuffer(v, d) for v in t[c].to_pylist()])
+
+        many = column("many", np.int8) > 0
+        extra = np.repeat(t["extra"].to_numpy(), [len(v) for v in t["many"].to_pylist()])
+        h = column("h", np.uint64)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
         same[:-1] |= h[1:] == h[:-1]
-        take = order[same | (c["many"][order] > 0) | extra[order]]
-        return pa.table({"key": c["h"][take].view(np.int64), "doc_id": c["doc"][take], "n": c["n"][take], "place": c["place"][take], "dense": c["dense"][take]})
+        kept = same | many[order] | extra[order]
+        take = order[kept]
+        key = h[kept].view(np.int64)
+        del h, order
+        return pa.table({"key": key, "doc_id": column("doc", "<i8")[take], **{c: column(c, "<i4")[take] for c in ("n", "place", "dense")}})
 
     sent = docs.mapInArrow(emit, "bucket int, extra boolean, h binary, doc binary, n binary, place binary, dense binary, many binary")
     return sent.groupBy("bucket").applyInArrow(meet, "key long, doc_id long, n int, place int, dense int")
