@@ -7,9 +7,14 @@ smallest value per document is kept, folded to 16 bits.  The fingerprint is
 their hexadecimal text, and the likeness of two is the share of equal places,
 which estimates the Jaccard similarity of the sets.
 
+Near duplicates are documents whose signatures share a band and whose sets are
+found alike when compared as a whole; `component_id` is the smallest doc_id that
+such links reach.
+
 Cases: null counts as empty; documents without words have one fixed fingerprint
 and are alike; equal texts have equal fingerprints.  Rows are ordered by doc_id,
-null first, then text; the row after the last is the first.
+null first, then text; the row after the last is the first.  Documents without
+words are linked with nothing, and a null doc_id has a null component.
 """
 
 from __future__ import annotations
@@ -21,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .graph import components
-from .ngram_join import verify
-from .words import shingles, slices, words
+from .common import cut, small_batches, table
+from .ngram_join import linked_members
+from .words import distinct, mix, shingles, slices, words
 
 SIGNATURE = 64
 SHINGLE = 5
@@ -33,11 +37,11 @@ _A = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32)
 
 
-def signatures(texts: pa.Array, k: int = SHINGLE) -> np.ndarray:
-    """One row of SIGNATURE 16-bit values for each text."""
+def signatures(texts: pa.Array, k: int = SHINGLE, lower: bool = False) -> np.ndarray:
+    """One row of SIGNATURE 16-bit values for each text; `lower` folds A-Z only."""
     out = np.full((len(texts), SIGNATURE), 0xFFFFFFFF, np.uint32)
     for x, y in slices(texts, 1 << 20):
-        h, bounds = shingles(words(texts.slice(x, y - x)), k)
+        h, bounds = shingles(words(texts.slice(x, y - x), lower), k)
         some = np.flatnonzero(np.diff(bounds))
         if not len(some):
             continue
@@ -113,28 +117,59 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 16) -> DataFrame:
-    """doc_id and component_id: documents whose signatures share a band, verified by Jaccard on whole shingle sets.
+def band_components(docs: DataFrame, percent: int = 80, bands: int = 16) -> DataFrame:
+    """(node, component) of the documents that are linked with another one.
 
-    Members of a band are compared with its smallest document, so a band costs its
-    size; with 16 bands of 4, a pair at 0.8 shares no band once in 5000."""
+    Links are between equal sets, and between any two documents that share a band and
+    whose whole shingle sets have the Jaccard similarity asked for: the members of a
+    band are compared with one leader, those still apart then in pairs or blocks, as
+    in ngram_join.  Sets, and signatures here, fold A-Z.  With 16 bands of 4, a pair at 0.8 shares no band once in 5000."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            sig = signatures(batch.column(1)).reshape(batch.num_rows, bands, -1)
-            key = np.zeros(sig.shape[:2], np.uint64)
-            for i in range(sig.shape[2]):
-                key = key * np.uint64(0x100000001B3) + sig[:, :, i]
-            key = key * np.uint64(bands) + np.arange(bands, dtype=np.uint64)
-            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["band", "doc_id"])
+            for x, y in slices(batch.column(1), 1 << 20):
+                texts = batch.column(1).slice(x, y - x)
+                sig = signatures(texts, lower=True).reshape(y - x, bands, -1)
+                key = np.zeros(sig.shape[:2], np.uint64)
+                for i in range(sig.shape[2]):
+                    key = key * np.uint64(0x100000001B3) + sig[:, :, i]
+                key = key * np.uint64(bands) + np.arange(bands, dtype=np.uint64)
+                sets = distinct(*shingles(words(texts, lower=True), SHINGLE))
+                a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+                b = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(y - x + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
+                yield pa.record_batch(
+                    [batch.column(0).slice(x, y - x), pa.array([len(s) for s in sets], pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists],
+                    ["doc_id", "n", "key_a", "key_b", "bands"],
+                )
+
+    signed = docs.where("rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')").mapInArrow(run, "doc_id long, n int, key_a long, key_b long, bands array<long>")
+    signed = cut(signed, "signed")
+    equal = ["n", "key_a", "key_b"]
+    first = signed.groupBy(*equal).agg(F.min("doc_id").alias("rep"))
+    known = cut(signed.select("doc_id", *equal).join(first, equal).select("doc_id", "rep").distinct(), "reps")
+    every = signed.join(known, "doc_id").select("n", F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
+    every = cut(every.distinct(), "bands")
+    shared = cut(every.groupBy("key").count().where("count > 1").select("key"), "shared")
+    members = every.join(shared, "key", "left_semi")
+    # no place in a prefix and no count of tokens: only the ratio of sizes rules a pair out unverified
+    members = cut(members.select("key", "n", F.lit(-1).alias("place"), F.col("n").alias("dense"), "doc_id"), "members")
+    return linked_members(docs, members, known, SHINGLE, percent)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 16) -> DataFrame:
+    """Per row of docs with an id: doc_id and component_id, the smallest doc_id that links reach."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return _with_component(docs.select("doc_id"), band_components(docs, percent, bands))
+
 
-    signed = cut(docs.where("rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')").mapInArrow(run, "band long, doc_id long"), "bands")
-    least = cut(signed.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    pairs = cut(signed.join(least, "band").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct(), "pairs")
-    found = components(verify(docs, pairs, SHINGLE, percent)).withColumnRenamed("node", "doc_id")
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    joined = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return joined.select(*rows.columns, F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op9_document_fingerprints(spark, sf_dir) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return _with_component(fingerprints(docs), band_components(docs))

@@ -331,6 +331,12 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from:
 
     members = cut(index_members(docs, k, percent, heavy_from, combine_up_to), "members")
     members = cut(members.join(known, "doc_id").select("key", "n", "place", "dense", F.col("rep").alias("doc_id")).distinct(), "members")
+    whole = linked_members(docs, members, known, k, percent).withColumnRenamed("node", "doc_id")
+    return sets.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def linked_members(docs: DataFrame, members: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) by all links among documents that share an index entry of `members`, and by the equal sets of `known`."""
     copies = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links, part, open_ = copies, None, members.withColumn("c", F.col("doc_id"))
     seen = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -353,8 +359,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from:
     left, right = (short.select("key", *_side(s, F.col), F.col("main").alias(f"main_{s}")) for s in "ab")
     pairs = left.join(right, "key").where("a < b and coalesce(main_a <> main_b, true)")
     rest = cut(_pairs(pairs, percent, 1).join(seen, ["a", "b"], "left_anti"), "rest")
-    whole = components(links.union(verify(docs, rest, k, percent))).withColumnRenamed("node", "doc_id")
-    return sets.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return components(links.union(verify(docs, rest, k, percent)))
 
 
 def _side(name: str, of) -> list:

@@ -137,6 +137,41 @@ def test_near_duplicates_agree_with_exact(docs):
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
 
 
+def test_near_duplicates_see_all_pairs_of_a_band(spark, monkeypatch):
+    """Variants of one text on both sides of the threshold: each pair that shares a band counts, in pairs and in blocks."""
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(9999)}" for _ in range(80)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4])):
+            w[rnd.randrange(80)] = f"x{rnd.randrange(400)}"
+        rows.append((i, " ".join(w).upper() if i % 7 == 0 else " ".join(w)))
+    sig = minhash.signatures(pa.array([t.lower() for _, t in rows])).reshape(len(rows), 16, 4)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+    met, exact = list(range(len(rows))), list(range(len(rows)))
+    for a, b in ((a, b) for b in range(len(rows)) for a in range(b)):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            for part in (exact, met) if (sig[a] == sig[b]).all(axis=1).any() else (exact,):
+                low, high = sorted((part[a], part[b]))
+                part[:] = [low if p == high else p for p in part]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert got == dict(enumerate(met))
+    monkeypatch.setattr(ngram_join, "LONG_ENTRY", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 64)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    # blocks also see pairs that share no band
+    assert all(got[i] == got[met[i]] and exact[i] == exact[got[i]] for i in got)
+
+
+def test_fingerprint_query_has_components(spark, sf, docs):
+    got = {r.doc_id: r.component_id for r in minhash.op9_document_fingerprints(spark, sf).collect()}
+    assert got == {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} and any(c != i for i, c in got.items())
+
+
 def test_packing(docs, odd):
     from tokenizers import Tokenizer
 
