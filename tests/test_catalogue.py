@@ -20,6 +20,17 @@ def duck(sf):
     return con
 
 
+def test_parcels_are_whole(spark, sf, tmp_path):
+    for name in catalogue.TABLES:
+        if name != "customer":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    spark.range(9_998, 12_346).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    pnu = {r.c_custkey: r.pnu for r in catalogue.fixture(spark, str(tmp_path), "parcels").collect()}
+    assert len(pnu) == 2348 and all(len(v) == 19 and v.isdigit() for v in pnu.values())
+    got = {r.c_custkey: r.value for r in catalogue.queries()["fn_parcel"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2348 and got[12_345] == "27/345/415/45/1/2345/7035"
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, sf, duck, name):
     df = catalogue.queries()[name](spark, sf)
