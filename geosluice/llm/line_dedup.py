@@ -9,8 +9,8 @@ Lines with fewer occurrences than `min_sites` cannot qualify and get no sketch.
 
 Cases: null and empty texts have no lines and come back as they are; a null
 site is a site of its own; blank lines stay; repeated lines of a document are
-one site; rows with equal doc_id are one document, in which a line stays at its
-first place; rows with a null doc_id keep all lines, but count for spread.
+one site; of rows with equal doc_id a line stays at its first place, and lines go
+by row (known by a hash of its text), not by number alone; rows with a null doc_id keep all lines, but count for spread.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ NEAR = 0.35
 
 
 def lines(docs: DataFrame, site: str) -> DataFrame:
-    """(doc_id, site, place, h1, h2) of every line that is not blank."""
-    at = docs.select("doc_id", F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    """(doc_id, row, site, place, h1, h2) of every line that is not blank."""
+    at = docs.select("doc_id", F.xxhash64("text").alias("row"), F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
     at = at.withColumn("line", F.trim(F.col("line"))).where("line <> ''")
-    return at.select("doc_id", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return at.select("doc_id", "row", "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def boilerplate(docs: DataFrame, site: str, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
@@ -57,10 +57,10 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     places, found = boilerplate(typed, site, min_sites)
     found = cut(found, "boilerplate")
     hits = places.join(found.select(*key), key, "left_semi").where("doc_id is not null")
-    first = cut(hits.groupBy(*key).agg(F.min(F.struct("doc_id", "place")).alias("first")), "first")
-    gone = hits.join(first, key).where(F.struct("doc_id", "place") != F.col("first"))
-    gone = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("place").alias("gone"))
-    both = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left")
+    first = cut(hits.groupBy(*key).agg(F.min(F.struct("doc_id", "place", "row")).alias("first")), "first")
+    gone = hits.join(first, key).where(F.struct("doc_id", "place", "row") != F.col("first"))
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set("place").alias("gone"))
+    both = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("gone_row")), "left")
     split = F.split(F.col("text").cast("string"), "\n")
     # positions to drop are few; a map makes the test for each line independent of their number
     dropped = F.map_from_arrays("gone", F.transform("gone", lambda p: F.lit(True)))

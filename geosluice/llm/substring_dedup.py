@@ -15,9 +15,10 @@ hash range; a hash that occurs several times in a slice is sent once, so a
 passage that a third of all documents hold is no large group anywhere.
 
 Cases: null and empty texts have no words; texts shorter than a window keep all
-words; rows with equal doc_id count as places of one document, and a position
-goes if it repeats in any of them; a null doc_id is an id of its own; an empty
-table gives an empty result; extra columns are ignored.
+words; places belong to a row, known by a 64-bit hash of doc_id and text, so rows
+with equal or null doc_id and different texts have places of their own, and rows
+equal in both share theirs; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ COVERS = {
     31: (1, 5, 11, 24, 25, 27),
 }
 SENT = "bucket int, hash binary, doc binary, place binary"
-PACKED = "part int, doc binary, lost binary, place binary"
-FOUND = "found_id long, no_id boolean, places binary"
+PACKED = "part int, doc binary, place binary"
+FOUND = "found_row long, places binary"
 #: The filter of repeated anchors is broadcast up to this size; beyond it, anchors are joined.
 FILTER_BYTES = 64 << 20
 FILTER_BITS = 16
@@ -83,19 +84,27 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _runs(ids: np.ndarray, gone: np.ndarray, places: np.ndarray):
+def _ordered(ids: np.ndarray, places: np.ndarray):
+    """By document and place, each once: rows equal in id and text name the same places."""
+    order = np.lexsort((places, ids))
+    ids, places = ids[order], places[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])
+    return ids[new], places[new]
+
+
+def _runs(ids: np.ndarray, places: np.ndarray):
     """One row of places for each document."""
-    order = np.lexsort((places, ids, gone))
-    ids, gone, places = ids[order], gone[order], places[order]
-    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (gone[1:] != gone[:-1])]) if len(ids) else np.zeros(0, int)
+    ids, places = _ordered(ids, places)
+    new = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
     blobs = [x.astype("<i4").tobytes() for x in np.split(places, new[1:])] if len(ids) else []
-    return ids[new], gone[new], blobs
+    return ids[new], blobs
 
 
-def _send(h, ids, gone, place, buckets):
+def _send(h, ids, place, buckets):
     """Rows for the exchange: single hashes by range; places known to repeat here go along as they are."""
     order = np.argsort(h, kind="stable")
-    h, ids, gone, place = h[order], ids[order], gone[order], place[order]
+    h, ids, place = h[order], ids[order], place[order]
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
     repeat = same.copy()
@@ -103,15 +112,14 @@ def _send(h, ids, gone, place, buckets):
     keep = ~same
     sent_h = h[keep]
     sent_doc = np.where(repeat[keep], 0, ids[keep])
-    sent_place = np.where(repeat[keep], -1, np.where(gone[keep], -2 - place[keep], place[keep]))
+    sent_place = np.where(repeat[keep], -1, place[keep])
     b = _bucket(sent_h, buckets)
     cuts = np.flatnonzero(np.diff(b)) + 1
     rows = []
     for x in np.split(np.arange(len(b)), cuts) if len(b) else []:
         rows.append((int(b[x[0]]), sent_h[x].tobytes(), sent_doc[x].astype("<i8").tobytes(), sent_place[x].astype("<i4").tobytes()))
-    d, g, blobs = _runs(ids[repeat], gone[repeat], place[repeat])
-    for i, (doc, lost, blob) in enumerate(zip(d.tolist(), g.tolist(), blobs)):
-        rows.append((int((doc ^ i) % buckets), None, np.array([doc, int(lost)], "<i8").tobytes(), blob))
+    for i, (doc, blob) in enumerate(zip(*_runs(ids[repeat], place[repeat]))):
+        rows.append((int((int(doc) ^ i) % buckets), None, doc.astype("<i8").tobytes(), blob))
     return rows
 
 
@@ -127,9 +135,8 @@ def _met(parts: int):
         hashes, docs, places, done = [], [], [], []
         for h, d, p in zip(t["hash"].to_pylist(), t["doc"].to_pylist(), t["place"].to_pylist()):
             if h is None:
-                doc, lost = np.frombuffer(d, "<i8").tolist()
                 p = np.frombuffer(p, "<i4")
-                done.append((np.full(len(p), doc), np.full(len(p), bool(lost)), p))
+                done.append((np.repeat(np.frombuffer(d, "<i8"), len(p)), p))
             else:
                 hashes.append(np.frombuffer(h, np.uint64))
                 docs.append(np.frombuffer(d, "<i8"))
@@ -142,17 +149,16 @@ def _met(parts: int):
             same[1:] = h[1:] == h[:-1]
             same[:-1] |= h[1:] == h[:-1]
             hit = same & (p != -1)
-            done.append((d[hit], p[hit] < -1, np.where(p[hit] < -1, -2 - p[hit], p[hit])))
-        doc, lost, place = (np.concatenate(c) for c in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
+            done.append((d[hit], p[hit]))
+        doc, place = _ordered(*(np.concatenate(c) for c in zip(*done))) if done else (np.zeros(0, np.int64),) * 2
         to = _bucket(mix(doc.astype(np.uint64)), parts)
-        order = np.lexsort((place, doc, to))
-        doc, lost, place, to = doc[order], lost[order], place[order], to[order]
+        order = np.argsort(to, kind="stable")
+        doc, place, to = doc[order], place[order], to[order]
         cuts = np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1) if len(to) else []
         return pa.table(
             {
                 "part": pa.array([int(to[x[0]]) for x in cuts], pa.int32()),
                 "doc": pa.array([doc[x].astype("<i8").tobytes() for x in cuts], pa.binary()),
-                "lost": pa.array([lost[x].astype(bool).tobytes() for x in cuts], pa.binary()),
                 "place": pa.array([place[x].astype("<i4").tobytes() for x in cuts], pa.binary()),
             }
         )
@@ -162,18 +168,19 @@ def _met(parts: int):
 
 def _gather(t: pa.Table) -> pa.Table:
     """One row of places for each document of a range."""
-    doc, lost, place = (np.concatenate([np.frombuffer(x, d) for x in t[c].to_pylist()]) for c, d in (("doc", "<i8"), ("lost", bool), ("place", "<i4")))
-    ids, gone, blobs = _runs(doc, lost, place)
-    return pa.table({"found_id": pa.array(ids, pa.int64()), "no_id": pa.array(gone, pa.bool_()), "places": pa.array(blobs, pa.binary())})
+    doc, place = (np.concatenate([np.frombuffer(x, d) for x in t[c].to_pylist()]) for c, d in (("doc", "<i8"), ("place", "<i4")))
+    ids, blobs = _runs(doc, place)
+    return pa.table({"found_row": pa.array(ids, pa.int64()), "places": pa.array(blobs, pa.binary())})
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    col = batch.column(0)
-    return col.fill_null(0).to_numpy(zero_copy_only=False), col.is_null().to_numpy(zero_copy_only=False)
+def with_row(docs: DataFrame) -> DataFrame:
+    """doc_id, text and what tells rows apart, as `row`."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.withColumn("row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
 
 
 def _repeated(sent: DataFrame, parts: int) -> DataFrame:
-    """(found_id, no_id, places) of the places whose hash occurs elsewhere, one row for a document."""
+    """(found_row, places) of the places whose hash occurs elsewhere, one row for a row of the input."""
     return sent.groupBy("bucket").applyInArrow(_met(parts), PACKED).groupBy("part").applyInArrow(_gather, FOUND)
 
 
@@ -201,21 +208,21 @@ class Bloom:
 
 
 def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(found_id, no_id, places): starts, as packed int32, of the windows that occur elsewhere too."""
+    """(found_row, places), found_row as with_row makes it: starts, as packed int32, of the windows that occur elsewhere too."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = with_row(docs).select("row", "text")
     modulus = cover_for(span)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(16, partitions)
 
     def all_windows(batches):
         for batch in batches:
-            ids, gone = _ids(batch)
+            ids = batch.column(0).to_numpy()
             for a, b in slices(batch.column(1)):
                 p = Places(batch.column(1).slice(a, b - a), span)
                 at = np.flatnonzero(p.left >= span)
                 if len(at):
-                    yield _rows(_send(p.whole[at], ids[a:b][p.row[at]], gone[a:b][p.row[at]], p.place[at], buckets))
+                    yield _rows(_send(p.whole[at], ids[a:b][p.row[at]], p.place[at], buckets))
 
     if not modulus:  # windows too short for anchors: each is compared
         return _repeated(docs.mapInArrow(all_windows, SENT), buckets)
@@ -223,14 +230,14 @@ def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_
     def anchors(with_places: bool):
         def run(batches):
             for batch in batches:
-                ids, gone = _ids(batch)
+                ids = batch.column(0).to_numpy()
                 for a, b in slices(batch.column(1)):
                     p = Places(batch.column(1).slice(a, b - a), span)
                     at, h = p.anchors(modulus)
                     if not len(at):
                         continue
                     if with_places:
-                        yield _rows(_send(h, ids[a:b][p.row[at]], gone[a:b][p.row[at]], p.place[at], buckets))
+                        yield _rows(_send(h, ids[a:b][p.row[at]], p.place[at], buckets))
                         continue
                     u, n = np.unique(h, return_counts=True)
                     cuts = np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1))
@@ -270,36 +277,36 @@ def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_
         def candidates(batches):
             bloom = Bloom(known.value, buckets)
             for batch in batches:
-                ids, gone = _ids(batch)
+                ids = batch.column(0).to_numpy()
                 for a, b in slices(batch.column(1)):
                     p = Places(batch.column(1).slice(a, b - a), span)
                     at, h = p.anchors(modulus)
                     at = p.windows(at[bloom.has(h)], modulus)
                     if len(at):
-                        yield _rows(_send(p.whole[at], ids[a:b][p.row[at]], gone[a:b][p.row[at]], p.place[at], buckets))
+                        yield _rows(_send(p.whole[at], ids[a:b][p.row[at]], p.place[at], buckets))
 
         return _repeated(docs.mapInArrow(candidates, SENT), buckets)
 
     def joined(batches):
         for batch in batches:
-            ids, gone = _ids(batch)
+            ids = batch.column(0).to_numpy()
             for i in range(batch.num_rows):
                 p = Places(batch.column(1).slice(i, 1), span)
                 at = np.unique(np.frombuffer(batch.column(2)[i].as_py(), "<i4"))
                 at = p.windows(at[at < len(p.place)].astype(np.int64), modulus)
                 if len(at):
-                    yield _rows(_send(p.whole[at], np.full(len(at), ids[i]), np.full(len(at), gone[i]), p.place[at], buckets))
+                    yield _rows(_send(p.whole[at], np.full(len(at), ids[i]), p.place[at], buckets))
 
     found = _repeated(docs.mapInArrow(anchors(True), SENT), buckets)
-    both = docs.join(found, (F.coalesce("doc_id", F.lit(0)) == F.col("found_id")) & (F.col("doc_id").isNull() == F.col("no_id")))
-    return _repeated(both.select("doc_id", "text", "places").mapInArrow(joined, SENT), buckets)
+    both = docs.join(found, F.col("row") == F.col("found_row"))
+    return _repeated(both.select("row", "text", "places").mapInArrow(joined, SENT), buckets)
 
 
 def substring_dedup(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the kept words joined by single spaces (kept_text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = with_row(docs)
     found = repeated_starts(docs, span, filter_bytes)
-    both = docs.join(found, (F.coalesce("doc_id", F.lit(0)) == F.col("found_id")) & (F.col("doc_id").isNull() == F.col("no_id")), "left")
+    both = docs.join(found, F.col("row") == F.col("found_row"), "left")
 
     def keep(batches):
         for batch in batches:

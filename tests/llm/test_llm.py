@@ -63,6 +63,18 @@ def test_substrings(docs, odd, span, limit):
         assert got == substring_brute(texts(df), span)
 
 
+@pytest.mark.parametrize("span,limit", [(9, 1 << 20), (9, 0), (4, 1 << 20)])
+def test_substrings_by_row(spark, span, limit):
+    """Rows with null or equal ids and different texts: words go only where their own row repeats."""
+    word = lambda i, n, at=0: " ".join(f"r{i}x{j}" for j in range(at, at + n))
+    plain = [word(1, 30) + " " + word(0, 12), word(0, 12) + " " + word(2, 30), word(3, 60), word(4, 20), word(5, 10) + " " + word(0, 12) + " " + word(5, 9, 10), None, ""]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(plain)] + [(None, t) for t in plain[2:4]] + [(8, plain[3]), (8, plain[3]), (0, word(6, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df, span, limit).collect())
+    want = substring_brute(list(enumerate(t for _, t in rows)), span)
+    assert got == sorted((str(rows[i][0]), *want[i]) for i in want)
+
+
 def components_brute(rows, k, percent):
     sets = {}
     for i, t in rows:
@@ -268,6 +280,13 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df, min_sites=11).agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_line_dedup_by_row(spark):
+    rows = [(i, f"Licensed\nown {i}", f"s{i}") for i in range(10)] + [(9, "first\nLicensed\nlast", "s9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.line_dedup(df, min_sites=8).collect())
+    assert got[0] == (0, "Licensed\nown 0", 0) and got[-2:] == [(9, "first\nlast", 1), (9, "own 9", 1)]
+
+
 def test_mixing_covers_targets(odd, docs):
     for df in (odd, docs):
         rows = mixing.mix(df).collect()
