@@ -195,6 +195,12 @@ def zones(spark, sf_dir, prefix: str = "") -> DataFrame:
     return z
 
 
+def ellipsoid_distance(spark, sf_dir) -> DataFrame:
+    """Metres on WGS 84 from a fixed point; fn_geo_geodesic_distance is the same on a sphere."""
+    p = fixture(spark, sf_dir, "pts")
+    return p.select("pt_id", F.round(g.ellipsoid_distance(g.point(F.lit(127.0), F.lit(34.0)), _pt()), 3).alias("value"))
+
+
 def join_points_in_zones(spark, sf_dir) -> DataFrame:
     """Number of points of each zone, borders included."""
     j = sj.intersects_join(points(spark, sf_dir), zones(spark, sf_dir), "pt_box", "box")
@@ -314,6 +320,7 @@ _TILES = "({x1} - {x0} + 1) * ({y1} - {y0} + 1)".format(x1=_TX.format(lon="maxx"
 
 #: name: (query, SQL)
 PLANS = {
+    "geo_ellipsoid_distance": (ellipsoid_distance, None),
     "join_points_in_zones": (join_points_in_zones, f"SELECT zone_id, count(*) AS n_points FROM ({P}) p JOIN ({Z}) z ON lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy GROUP BY zone_id"),
     "join_zones_with_zones": (join_zones_with_zones, f"SELECT a.zone_id AS l_zone_id, b.zone_id AS r_zone_id FROM ({Z}) a JOIN ({Z}) b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy"),
     "join_zones_contain": (join_zones_contain, f"SELECT a.zone_id AS l_zone_id, b.zone_id AS r_zone_id FROM ({Z}) a JOIN ({Z}) b ON a.minx <= b.minx AND b.maxx <= a.maxx AND a.miny <= b.miny AND b.maxy <= a.maxy"),

@@ -187,7 +187,66 @@ EARTH_RADIUS = 6_371_008.8
 
 
 def geodesic_distance(a: Column, b: Column) -> Column:
-    """Great-circle metres between lon/lat points on a sphere of mean radius."""
+    """Great-circle metres between lon/lat points on a sphere of mean radius, up to about 0.6 % off the ellipsoid's."""
     rad = math.pi / 180
     h = F.pow(F.sin((b["y"] - a["y"]) * (rad / 2)), 2) + F.cos(a["y"] * rad) * F.cos(b["y"] * rad) * F.pow(F.sin((b["x"] - a["x"]) * (rad / 2)), 2)
     return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * EARTH_RADIUS)
+
+
+#: WGS 84, and Vincenty's steps: all but nearly antipodal points need under ten.
+MAJOR_AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
+VINCENTY_STEPS = 20
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ellipsoid_distance(a: Column, b: Column) -> Column:
+    """Metres between lon/lat points along the geodesic of WGS 84, by Vincenty's inverse formula.
+
+    Null for nearly antipodal points, where it does not converge."""
+    rad, f = math.pi / 180, FLATTENING
+    reduced = lambda p: F.atan(F.tan(p["y"] * rad) * (1 - f))
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+
+    def arc(g: Column, lam: Column, body) -> Column:
+        """body of sin, cos and size of the arc between the points, cos^2 of the azimuth at the equator, and cos of twice the middle."""
+        s, c = g["cu"] * F.sin(lam), g["du"] * g["su"] - g["eu"] * g["cu"] * F.cos(lam)
+        first = F.struct(F.sqrt(s * s + c * c).alias("sin"), (g["eu"] * g["su"] + g["du"] * g["cu"] * F.cos(lam)).alias("cos"))
+        second = lambda v: F.struct(v["sin"].alias("sin"), v["cos"].alias("cos"), ratio(g["du"] * g["cu"] * F.sin(lam), v["sin"]).alias("azimuth"))
+        third = lambda v: F.struct(
+            v["sin"].alias("sin"), v["cos"].alias("cos"), v["azimuth"].alias("azimuth"), F.atan2(v["sin"], v["cos"]).alias("size"), (1 - v["azimuth"] * v["azimuth"]).alias("c2"),
+            (v["cos"] - ratio(2 * g["eu"] * g["su"], 1 - v["azimuth"] * v["azimuth"])).alias("mid"),
+        )
+        return _let(first, lambda v: _let(second(v), lambda w: _let(third(w), body)))
+
+    def step(g: Column, state: Column) -> Column:
+        def turned(v: Column) -> Column:
+            k = v["c2"] * (4 + f * (4 - 3 * v["c2"])) * (f / 16)
+            more = v["size"] + k * v["sin"] * (v["mid"] + k * v["cos"] * (2 * v["mid"] * v["mid"] - 1))
+            return F.struct((g["l"] + (1 - k) * f * v["azimuth"] * more).alias("lam"), state["lam"].alias("before"))
+
+        return arc(g, state["lam"], turned)
+
+    def metres(v: Column) -> Column:
+        minor = MAJOR_AXIS * (1 - f)
+        u = v["c2"] * ((MAJOR_AXIS**2 - minor**2) / minor**2)
+        p = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        q = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m = v["mid"]
+        bent = q * v["sin"] * (m + q / 4 * (v["cos"] * (2 * m * m - 1) - q / 6 * m * (4 * v["sin"] * v["sin"] - 3) * (4 * m * m - 3)))
+        return minor * p * (v["size"] - bent)
+
+    def whole(g: Column) -> Column:
+        start = F.struct(g["l"].alias("lam"), F.lit(9.0).alias("before"))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(VINCENTY_STEPS)), start, lambda state, _: step(g, state))
+        return _let(end, lambda e: F.when((F.abs(e["lam"] - e["before"]) < 1e-12) & (F.abs(e["lam"]) <= math.pi), arc(g, e["lam"], metres)))
+
+    u, v = reduced(a), reduced(b)
+    # du, eu: cos and sin of the first reduced latitude, cu, su: of the second
+    given = F.struct(
+        ((F.pmod(b["x"] - a["x"] + 180, F.lit(360.0)) - 180) * rad).alias("l"), F.cos(u).alias("du"), F.sin(u).alias("eu"), F.cos(v).alias("cu"), F.sin(v).alias("su"),
+    )
+    return _let(given, whole)

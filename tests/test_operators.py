@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,33 @@ def test_clusters_own_each_row_once(spark, tmp_path):
     assert sorted(r.id for r in hit.collect()) == [i for i in range(40) if 3 * i <= 50 and 3 * i + 4 >= 10 and i <= 20 and i + 3 >= 2]
 
 
+def test_ellipsoid_distance(spark):
+    """Against the geodesic's differential equations, carried on in small steps from a point and an azimuth."""
+    major, f = 6_378_137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+
+    def rate(y):
+        w = 1 - e2 * math.sin(y[0]) ** 2
+        across, along = major / math.sqrt(w), major * (1 - e2) / w**1.5
+        return math.cos(y[2]) / along, math.sin(y[2]) / (across * math.cos(y[0])), math.sin(y[2]) * math.tan(y[0]) / across
+
+    rows = [(127.0, 34.0, 127.0, 34.0, 0.0), (0.0, 0.0, 0.0, 90.0, 10_001_965.729), (179.5, 0.0, -179.5, 0.0, 111_319.491)]
+    for lon, lat, azimuth, metres in ((127.0, 34.0, 30.0, 1e5), (127.0, 34.0, 0.0, 5e5), (-70.0, -40.0, 100.0, 4e6), (179.0, 10.0, 80.0, 9e6), (10.0, 1.0, 90.0, 1e6), (0.0, 60.0, 250.0, 200.0)):
+        y, n = [math.radians(v) for v in (lat, lon, azimuth)], 2000
+        h = metres / n
+        for _ in range(n):
+            k1 = rate(y)
+            k2 = rate([v + h / 2 * k for v, k in zip(y, k1)])
+            k3 = rate([v + h / 2 * k for v, k in zip(y, k2)])
+            k4 = rate([v + h * k for v, k in zip(y, k3)])
+            y = [v + h / 6 * (p + 2 * q + 2 * r + s) for v, p, q, r, s in zip(y, k1, k2, k3, k4)]
+        rows.append((lon, lat, math.degrees(y[1]), math.degrees(y[0]), metres))
+    rows += [(0.0, 0.0, 179.9, 0.1, None), (None, 0.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, want double")
+    got = df.select("want", g.ellipsoid_distance(g.point(F.col("a"), F.col("b")), g.point(F.col("c"), F.col("d"))).alias("v")).collect()
+    assert all(r.v is None if r.want is None else abs(r.v - r.want) < 1e-3 for r in got), got
+
+
 def test_quadkey(spark):
     key = t.quadkey(t.tile_x(F.lit(127.0), 8), t.tile_y(F.lit(37.5), 8), 8)
     assert one(spark, key) == "13211032"
