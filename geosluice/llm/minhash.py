@@ -9,16 +9,24 @@ which estimates the Jaccard similarity of the sets.
 
 Near duplicates are documents whose signatures share a band and whose sets are
 found alike when compared as a whole; `component_id` is the smallest doc_id that
-such links reach.
+such links reach.  Equal sets are one document there, and of bands only those that
+two different sets share leave the range of hashes that they meet in.
+
+Texts travel as zstd bytes, once for the rows in order, and once more for each cell
+in which a candidate of theirs is verified.
 
 Cases: null counts as empty; documents without words have one fixed fingerprint
 and are alike; equal texts have equal fingerprints.  Rows are ordered by doc_id,
-null first, then text; the row after the last is the first.  Documents without
-words are linked with nothing, and a null doc_id has a null component.
+null first, then by a hash of the text; the row after the last is the first.
+Documents without words are linked with nothing, and a null doc_id has a null
+component; rows with equal doc_id are fingerprinted each and are one document of
+the graph.  Texts of any length are read whole; extra columns are ignored whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -26,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, spread, table, unzipped, with_least, zipped
 from .ngram_join import linked_members
 from .words import distinct, mix, shingles, slices, words
 
@@ -59,24 +67,40 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+#: Rows sampled, by hash, for each bound between parts.
+SAMPLED = 20
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) ranged by doc_id into parts whose rows are in order, each part
+    """(doc_id, packed, part, tail): docs (doc_id, text) in parts whose rows are in order, texts packed, each part
     followed by the row after it (tail), so that a task sees every row with its next one.
 
-    Bounds are ids that occur, so that row is found by equality: the shuffle carries
-    every text once, and the bounds' texts twice."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranks = [i / n for i in range(n)]
-    found, nulls = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, ranks)), F.lit(100 * n)), F.count_if(F.col("doc_id").isNull())).first()
-    least = docs.agg(F.min("doc_id")).first()[0]
-    bounds = sorted({least, *(found or [])} - {None})
-    at = F.greatest(F.lit(0), F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))) - 1) if bounds else F.lit(0)
-    rows = docs.withColumn("part", F.coalesce(at, F.lit(0))).withColumn("tail", F.lit(False))
+    Parts are bounded by (doc_id, hash of the text), so the rows of one id, or of none,
+    can be many parts; a bound is a row that occurs, so it is found by equality.  The
+    shuffle carries every text once, and the bounds' texts twice."""
+    spark = docs.sparkSession
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("i"), "h")
+    n, least = keyed.agg(F.count("*"), F.min(key)).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    share = F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 30)) < min(1.0, SAMPLED * parts / max(n, 1)) * (1 << 30)
+    seen = sorted({tuple(r[0]) for r in keyed.where(share).select(key).distinct().collect()})  # about SAMPLED a part
+    bounds = sorted({*seen[::SAMPLED], *([tuple(least)] if least else [])})
     last = max(0, len(bounds) - 1)
-    tails = docs.where(F.col("doc_id").isin(bounds[1:])).withColumn("part", at - 1)
-    first = docs.where(F.col("doc_id").isNull() if nulls else F.col("doc_id") == least).withColumn("part", F.lit(last))
-    rows = rows.unionByName(tails.union(first).withColumn("tail", F.lit(True)))
-    return rows.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "tail", "doc_id", "text")
+
+    def deal(batches):
+        for batch in batches:
+            for x, y in slices(batch.column(1), 4 << 20):
+                ids, texts, h = (batch.column(c).slice(x, y - x) for c in range(3))
+                packed, keys = zipped(texts), [(i is not None, i or 0, v) for i, v in zip(ids.to_pylist(), h.to_pylist())]
+                to = [bisect.bisect_right(bounds, k) - 1 for k in keys]
+                yield pa.record_batch([ids, packed, h, pa.array(to, pa.int32()), pa.array([False] * len(to))], ["doc_id", "packed", "h", "part", "tail"])
+                ends = pa.array([j for j, k in enumerate(keys) if bounds[to[j]] == k], pa.int64())
+                before = pa.array([to[j] - 1 if to[j] else last for j in ends.to_pylist()], pa.int32())
+                yield pa.record_batch([ids.take(ends), packed.take(ends), h.take(ends), before, pa.array([True] * len(ends), pa.bool_())], ["doc_id", "packed", "h", "part", "tail"])
+
+    sent = keyed.mapInArrow(deal, "doc_id long, packed binary, h long, part int, tail boolean")
+    return sent.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "tail", "doc_id", "h").drop("h")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -86,10 +110,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         held = None  # the last row so far: id, text, signature, part
         for batch in batches:
-            for x, y in slices(batch.column(1), 4 << 20):
-                piece = batch.slice(x, y - x)
+            for x in range(0, batch.num_rows, 256):
+                piece = batch.slice(x, 256)
                 ids, parts, tails = (piece.column(c).to_pylist() for c in (0, 2, 3))
-                texts, sig = piece.column(1).to_pylist(), signatures(piece.column(1))
+                unpacked = unzipped(piece.column(1))
+                texts, sig = unpacked.to_pylist(), signatures(unpacked)
                 rows, edits, pairs = [], [], []
                 for i, text in enumerate(texts):
                     if held is not None and held[3] == parts[i]:
@@ -117,15 +142,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def band_components(docs: DataFrame, percent: int = 80, bands: int = 16) -> DataFrame:
-    """(node, component) of the documents that are linked with another one.
-
-    Links are between equal sets, and between any two documents that share a band and
-    whose whole shingle sets have the Jaccard similarity asked for: the members of a
-    band are compared with one leader, those still apart then in pairs or blocks, as
-    in ngram_join.  Sets, and signatures here, fold A-Z.  With 16 bands of 4, a pair at 0.8 shares no band once in 5000."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    small_batches(docs.sparkSession)
+def signed(docs: DataFrame, bands: int) -> DataFrame:
+    """(doc_id, n, key_a, key_b, bands): set size, keys that are equal for equal sets, and the bands' hashes."""
 
     def run(batches):
         for batch in batches:
@@ -135,28 +153,64 @@ def band_components(docs: DataFrame, percent: int = 80, bands: int = 16) -> Data
                 key = np.zeros(sig.shape[:2], np.uint64)
                 for i in range(sig.shape[2]):
                     key = key * np.uint64(0x100000001B3) + sig[:, :, i]
-                key = key * np.uint64(bands) + np.arange(bands, dtype=np.uint64)
+                key = mix(key * np.uint64(bands) + np.arange(bands, dtype=np.uint64))
                 sets = distinct(*shingles(words(texts, lower=True), SHINGLE))
                 a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 b = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(y - x + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
                 yield pa.record_batch(
-                    [batch.column(0).slice(x, y - x), pa.array([len(s) for s in sets], pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists],
+                    [batch.column(0).slice(x, y - x), pa.array([len(s) for s in sets], pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([k.tobytes() for k in key], pa.binary())],
                     ["doc_id", "n", "key_a", "key_b", "bands"],
                 )
 
-    signed = docs.where("rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')").mapInArrow(run, "doc_id long, n int, key_a long, key_b long, bands array<long>")
-    signed = cut(signed, "signed")
-    equal = ["n", "key_a", "key_b"]
-    first = signed.groupBy(*equal).agg(F.min("doc_id").alias("rep"))
-    known = cut(signed.select("doc_id", *equal).join(first, equal).select("doc_id", "rep").distinct(), "reps")
-    every = signed.join(known, "doc_id").select("n", F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
-    every = cut(every.distinct(), "bands")
-    shared = cut(every.groupBy("key").count().where("count > 1").select("key"), "shared")
-    members = every.join(shared, "key", "left_semi")
-    # no place in a prefix and no count of tokens: only the ratio of sizes rules a pair out unverified
-    members = cut(members.select("key", "n", F.lit(-1).alias("place"), F.col("n").alias("dense"), "doc_id"), "members")
-    return linked_members(docs, members, known, SHINGLE, percent)
+    some = docs.where("rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
+    return some.mapInArrow(run, "doc_id long, n int, key_a long, key_b long, bands binary")
+
+
+def band_members(sets: DataFrame, parts: int) -> DataFrame:
+    """(key, doc_id, n) of the bands that two rows of sets (doc_id, n, bands) share at least, met by ranges of hashes."""
+
+    def send(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+            each = len(keys) // batch.num_rows
+            to = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            owner = order // each
+            cols = [np.ascontiguousarray(c, d) for c, d in ((keys[order], "<u8"), (batch.column(0).to_numpy()[owner], "<i8"), (batch.column(1).to_numpy()[owner], "<i4"))]
+            cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=parts))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield pa.record_batch([pa.array([int(to[order[x]])], pa.int32()), *(pa.array([c[x:y].tobytes()], pa.binary()) for c in cols)], ["range", "h", "doc", "n"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        h, doc, n = (np.concatenate([np.frombuffer(v, d) for v in t[c].to_pylist()]) for c, d in (("h", "<u8"), ("doc", "<i8"), ("n", "<i4")))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        return pa.table({"key": h[order].view(np.int64), "doc_id": doc[order], "n": n[order]})
+
+    sent = sets.select("doc_id", "n", "bands").mapInArrow(send, "range int, h binary, doc binary, n binary")
+    return sent.groupBy("range").applyInArrow(meet, "key long, doc_id long, n int")
+
+
+def band_components(docs: DataFrame, percent: int = 80, bands: int = 16) -> DataFrame:
+    """(node, component) of the documents that are linked with another one.
+
+    Links are between equal sets, and between any two documents that share a band and
+    whose whole shingle sets have the Jaccard similarity asked for: the members of a
+    band are compared with one leader, those still apart then in pairs or blocks, as
+    in ngram_join.  Sets, and signatures here, fold A-Z.  With 16 bands of 4, a pair at 0.8 shares no band once in 5000."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    equal, parts = ["n", "key_a", "key_b"], spread(docs)
+    with small_batches(docs.sparkSession):
+        every = cut(signed(docs, bands), "signed")
+        known = cut(with_least(every.select("doc_id", *equal), equal, "doc_id", "rep").select("doc_id", "rep").distinct(), "reps")
+        sets = every.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
+        members = band_members(sets, parts)
+        # no place in a prefix and no count of tokens: only the ratio of sizes rules a pair out unverified
+        members = cut(members.select("key", "n", F.lit(-1).alias("place"), F.col("n").alias("dense"), "doc_id"), "members")
+        return linked_members(docs, members, known, SHINGLE, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 16) -> DataFrame:

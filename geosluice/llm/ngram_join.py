@@ -5,11 +5,12 @@ any order of tokens that all documents share, two sets with enough in common
 share at least k tokens of their first p + k - 1, where p is the usual prefix
 length (set size less the smallest overlap that a partner needs, plus one).
 Light tokens come first, by hash, heavy tokens (in more than `heavy_from`
-documents) last.  With k = 2: either one of the shared tokens is light, and
+texts) last.  With k = 2: either one of the shared tokens is light, and
 both documents are indexed under it alone; or two shared tokens are heavy, and
 both documents are indexed under that combination.  Sets of more than
 `combine_up_to` tokens would make too many combinations, so they, and those
 within the size ratio below that bound, are indexed under single heavy tokens.
+Of equal sets only the document with the smallest id is indexed.
 
 Candidates are then verified on whole sets.  As components are asked for, the
 first pass verifies each index entry's members against one of its documents.
@@ -19,13 +20,17 @@ are brought together by a shared leader, their documents dealt into blocks, and
 each two blocks compared in one task by a product of their token matrices, which
 returns a spanning forest of the links: a block's pairs are never rows.  Short ones
 have all their remaining pairs verified, but for pairs that met in a group of
-blocks.  Pairs within a component need no look in the other passes, so groups of
+blocks.  Pairs are verified in cells, by the document that brought them together, so a
+text travels once for a cell, compressed, however many pairs it has there.  Pairs within a component need no look in the other passes, so groups of
 copies cost their size, not its square there, and no link between different
 components is lost.
 
 Cases: null and empty texts have empty sets, linked with nothing; equal sets
 are linked without a join; rows with a null doc_id take no part and come back
-with a null component; rows with equal doc_id are one document of the graph.
+with a null component; rows with equal doc_id are one document of the graph;
+texts of any length are read whole, a megabyte of short ones or one long one at a
+time; extra columns are ignored whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, spread, table, unzipped, with_least, zipped
 from .graph import components
 from .words import distinct, mix, shingles, slices, words
 
 #: Heavy tokens are at most this many, so their table to broadcast has a fixed bound (8 bytes each).
 MOST_HEAVY = 4 << 20
 HEAVY_FROM = 128
-COMBINE_UP_TO = 400
+COMBINE_UP_TO = 120
 #: Document ids are broadcast up to this many; beyond it, they are joined.
 MOST_IDS = 2 << 20
 #: Passes with another document of each entry as its centre, before the remaining pairs are looked at.
@@ -51,6 +56,8 @@ STAR_TURNS = 1
 LONG_ENTRY = 256
 #: A block has about this many documents, and about this many shingles, whichever makes more blocks.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
+#: Documents of a verifying cell's side; larger cells are dealt into smaller ones.
+CELL_DOCS = 512
 #: Columns of a token matrix at a time.
 MATRIX_TOKENS = 4096
 SHIFT = np.uint64(24)
@@ -90,18 +97,16 @@ def set_keys(docs: DataFrame, k: int) -> DataFrame:
 
 
 def heavy_tokens(docs: DataFrame, k: int, heavy_from: int, buckets: int) -> np.ndarray:
-    """The first 40 bits of tokens, of the lower half of all hashes, in more than heavy_from documents.
+    """The first 40 bits of tokens in more than heavy_from documents.
 
-    Prefixes hold the lowest hashes, so the upper half is not counted.  If more
-    tokens qualify than MOST_HEAVY, the bound doubles until they fit: the join
+    If more tokens qualify than MOST_HEAVY, the bound doubles until they fit: the join
     stays exact, its entries only become longer."""
 
     def count(batches):
         for batch in batches:
             for x, y in slices(batch.column(1), 4 << 20):
                 h = np.sort(np.concatenate(_sets(batch.column(1).slice(x, y - x), k)))
-                h = h[: np.searchsorted(h, np.uint64(1 << 63))]
-                b = _ranges(h << np.uint64(1), buckets)
+                b = _ranges(h, buckets)
                 h = h >> SHIFT
                 cuts = np.searchsorted(b, np.arange(buckets + 1))
                 rows = []
@@ -158,7 +163,7 @@ def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combin
     """(key, doc_id, n, place, dense) of the index entries that have two documents at least."""
     spark = docs.sparkSession
     # ranges of hashes, each met in one task: their number grows with the input
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    buckets = max(64, spread(docs))
     known = spark.sparkContext.broadcast(heavy_tokens(docs, k, heavy_from, buckets))
 
     def emit(batches):
@@ -217,25 +222,65 @@ def index_members(docs: DataFrame, k: int, percent: int, heavy_from: int, combin
     return sent.groupBy("bucket").applyInArrow(meet, "key long, doc_id long, n int, place int, dense int")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those linked: 100 * intersection >= percent * union."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the documents whose doc_id is in ids, texts as zstd bytes."""
     texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
-            for x, y in slices(batch.column(3), 1 << 20):
-                left, right = (_sets(batch.column(c).slice(x, y - x), k) for c in (2, 3))
-                ok = np.zeros(y - x, bool)
-                for i, (s, t) in enumerate(zip(left, right)):
-                    shared = len(np.intersect1d(s, t, assume_unique=True))
-                    ok[i] = shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared)
-                keep = pa.array(ok)
-                yield pa.record_batch([batch.column(c).slice(x, y - x).filter(keep) for c in (0, 1)], ["a", "b"])
+            for x, y in slices(batch.column(1), 4 << 20):
+                yield pa.record_batch([batch.column(0).slice(x, y - x), zipped(batch.column(1).slice(x, y - x))], ["doc_id", "packed"])
 
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b, centre), those linked: 100 * intersection >= percent * union.
+
+    The pairs of a centre are a cell, dealt into smaller ones by hashes of a and b if it
+    has many documents; some cells together are a task's share."""
+    ends = lambda p, *more: p.select(*more, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    need = cut(ends(pairs, "centre"), "need")
+    size = need.groupBy("centre").agg(F.ceil(F.count("*") / CELL_DOCS).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.withColumn("cell", F.xxhash64("centre"))
+    if not size.isEmpty():
+        side = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1)))
+        dealt = pairs.join(cut(size, "cells"), "centre", "left")
+        dealt = cut(dealt.select("a", "b", F.xxhash64("centre", side("a"), side("b")).alias("cell")), "dealt")
+        need = cut(ends(dealt, "cell"), "need")
+    else:
+        need = need.withColumn("cell", F.xxhash64("centre"))
+    shares = 1 + need.count() // (4 * CELL_DOCS)
+    share = F.pmod("cell", F.lit(shares)).alias("share")
+    dealt, need = dealt.select(share, "a", "b"), need.select(share, "doc_id").distinct()
+    texts = texts_of(docs, need.select("doc_id").distinct())
+    texts = texts.join(F.broadcast(need) if need.count() <= MOST_IDS else need, "doc_id")
+
+    def check(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        own = t.filter(t["packed"].is_valid())
+        ids, at = np.unique(own["a"].to_numpy(), return_inverse=True)
+        sets: list[list[np.ndarray]] = [[] for _ in ids]
+        for i in range(0, len(at), 256):
+            for j, s in zip(at[i : i + 256].tolist(), _sets(unzipped(own["packed"].slice(i, 256)), k)):
+                sets[j].append(s)
+        pairs = t.filter(t["packed"].is_null())
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        ok = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist())):
+            ok[i] = any(_linked(s, t, percent) for s in sets[x] for t in sets[y])  # several only where rows share a doc_id
+        return pa.table({"a": a[ok], "b": b[ok]})
+
+    rows = texts.select("share", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
+    rows = rows.unionByName(dealt.withColumn("packed", F.lit(None).cast("binary")))
+    return rows.groupBy("share").applyInArrow(check, "a long, b long").distinct()
+
+
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared)
 
 
 def shared_tokens(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -292,18 +337,10 @@ def link_blocks(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFr
     meet in one of them."""
     blocks = met.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = met.join(blocks, "group").select("group", "doc_id", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(-1)), "blocks").cast("int").alias("block"))
-    ids = cut(met.select("doc_id").distinct(), "ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
-
-    def to_sets(batches):
-        for batch in batches:
-            for x, y in slices(batch.column(1), 1 << 20):
-                sets = _sets(batch.column(1).slice(x, y - x), k)
-                yield pa.record_batch([batch.column(0).slice(x, y - x), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "tokens"])
 
     def compare(t: pa.Table) -> pa.Table:
         ids = t["doc_id"].to_numpy()
-        sets = [np.frombuffer(v, np.uint64) for v in t["tokens"].to_pylist()]
+        sets = [x for i in range(0, len(ids), 256) for x in _sets(unzipped(t["packed"].slice(i, 256)), k)]
         n = np.array([len(s) for s in sets])
         block = t["block"].to_numpy()
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
@@ -313,53 +350,66 @@ def link_blocks(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFr
         edges = np.array(spanning_forest(linked | linked.T), np.int64).reshape(-1, 2)
         return pa.table({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
 
-    sets = texts.mapInArrow(to_sets, "doc_id long, tokens binary").join(dealt, "doc_id")
-    sent = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "tokens")
+    dealt = cut(dealt, "blocks")
+    texts = texts_of(docs, dealt.select("doc_id").distinct()).join(F.broadcast(dealt) if dealt.count() <= MOST_IDS else dealt, "doc_id")
+    sent = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "packed")
     return sent.groupBy("group", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, heavy_from: int = HEAVY_FROM, combine_up_to: int = COMBINE_UP_TO) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small_batches(docs.sparkSession)
-    sets = cut(set_keys(docs, k), "sets")
-    docs = docs.where("doc_id is not null")
-    first = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    known = sets.where("n_shingles > 0 and doc_id is not null").join(first, ["n_shingles", "key_a", "key_b"]).select("doc_id", "rep").distinct()
-    known = cut(known, "reps")
-
-    members = cut(index_members(docs, k, percent, heavy_from, combine_up_to), "members")
-    members = cut(members.join(known, "doc_id").select("key", "n", "place", "dense", F.col("rep").alias("doc_id")).distinct(), "members")
-    whole = linked_members(docs, members, known, k, percent).withColumnRenamed("node", "doc_id")
+    with small_batches(docs.sparkSession):
+        sets = cut(set_keys(docs, k), "sets")
+        docs = docs.where("doc_id is not null")
+        some = sets.where("n_shingles > 0 and doc_id is not null")
+        known = cut(with_least(some, ["n_shingles", "key_a", "key_b"], "doc_id", "rep").select("doc_id", "rep").distinct(), "reps")
+        members = cut(index_members(first_of_equals(docs, known), k, percent, heavy_from, combine_up_to), "members")
+        members = cut(members.join(known, "doc_id").select("key", "n", "place", "dense", F.col("rep").alias("doc_id")).distinct(), "members")
+        whole = linked_members(docs, members, known, k, percent).withColumnRenamed("node", "doc_id")
     return sets.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def first_of_equals(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs without documents all of whose sets another one stands for; with more than MOST_IDS of these, all of docs."""
+    copies = cut(known.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("rep")).alias("own")).where("own = 0").select("doc_id"), "copies")
+    return docs.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= MOST_IDS else docs
+
+
 def linked_members(docs: DataFrame, members: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) by all links among documents that share an index entry of `members`, and by the equal sets of `known`."""
+    """(node, component) by all links among documents that share an index entry of `members`, and by the equal sets of `known`.
+
+    The result is written: what reads it runs none of the comparisons again."""
     copies = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links, part, open_ = copies, None, members.withColumn("c", F.col("doc_id"))
     seen = docs.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(STAR_TURNS):
         first = cut(open_.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "place", "dense", "c"), F.xxhash64("doc_id", F.lit(turn))).alias("l")), "leaders")
-        star = open_.join(first, "key").select("key", *_side("a", lambda c: F.col("l")[c]), *_side("b", F.col))
+        star = open_.join(first, "key").select("key", F.col("l")["doc_id"].alias("centre"), *_side("a", lambda c: F.col("l")[c]), *_side("b", F.col))
         star = cut(_pairs(star, percent, 4).join(seen, ["a", "b"], "left_anti"), "star")
         links = cut(links.union(verify(docs, star, k, percent)), "links")
-        seen = seen.union(star)
-        part = components(links)
+        seen = seen.union(star.select("a", "b"))
+        part = cut(components(links), "components")
         open_ = cut(_open(members, part), "open")
-    met = block_groups(open_)
-    links = cut(links.union(link_blocks(docs, met, k, percent)), "links")
-    # what one group has compared is done: entries within a document's largest group, and pairs
-    main = met.join(met.groupBy("group").agg(F.count("*").alias("docs")), "group").groupBy("doc_id").agg(F.max(F.struct("docs", "group"))["group"].alias("main"))
-    own = cut(open_.join(main, "doc_id", "left"), "own")
-    entries = own.groupBy("key").agg(F.count("*").alias("size"), F.count("main").alias("dealt"), F.min("main").alias("x"), F.max("main").alias("y"))
+    own = open_.withColumn("main", F.lit(None).cast("long"))
+    if open_.groupBy("key").count().where(F.col("count") > LONG_ENTRY).isEmpty():
+        if open_.isEmpty():
+            return part
+    else:
+        met = block_groups(open_)
+        links = cut(links.union(link_blocks(docs, met, k, percent)), "links")
+        # what one group has compared is done: entries within a document's largest group, and pairs
+        main = met.join(met.groupBy("group").agg(F.count("*").alias("docs")), "group").groupBy("doc_id").agg(F.max(F.struct("docs", "group"))["group"].alias("main"))
+        own = cut(open_.join(main, "doc_id", "left"), "own")
+    leader = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(STAR_TURNS))).alias("centre")
+    entries = own.groupBy("key").agg(F.count("*").alias("size"), F.count("main").alias("dealt"), F.min("main").alias("x"), F.max("main").alias("y"), leader)
     entries = entries.where((F.col("size") <= LONG_ENTRY) & ~((F.col("dealt") == F.col("size")) & (F.col("x") == F.col("y"))))
-    short = own.join(entries.select("key"), "key", "left_semi")
-    left, right = (short.select("key", *_side(s, F.col), F.col("main").alias(f"main_{s}")) for s in "ab")
+    short = own.join(entries.select("key", "centre"), "key")
+    left, right = (short.select("key", *c, *_side(s, F.col), F.col("main").alias(f"main_{s}")) for s, c in (("a", ["centre"]), ("b", [])))
     pairs = left.join(right, "key").where("a < b and coalesce(main_a <> main_b, true)")
     rest = cut(_pairs(pairs, percent, 1).join(seen, ["a", "b"], "left_anti"), "rest")
-    return components(links.union(verify(docs, rest, k, percent)))
+    return cut(components(links.union(verify(docs, rest, k, percent))), "components")
 
 
 def _side(name: str, of) -> list:
@@ -375,7 +425,7 @@ def _open(members: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame, percent: int, ease: int) -> DataFrame:
-    """Distinct (a, b) of members that met, of different components, that can still be linked.
+    """Distinct (a, b, centre) of members that met at a centre, of different components, that can still be linked.
 
     Sizes must be within the ratio, and the first token that two sets share must
     leave room for the overlap that they need.  Then tokens are counted: the set whose
@@ -388,11 +438,12 @@ def _pairs(met: DataFrame, percent: int, ease: int) -> DataFrame:
     met = met.where(fits).select(
         F.least("a", "b").alias("a"),
         F.greatest("a", "b").alias("b"),
+        "centre",
         F.expr(f"place_a < 0 or least(n_a - place_a, n_b - place_b) >= {need}").alias("room"),
         F.expr(f"{need} - greatest({after.format(s='a', p=percent)}, {after.format(s='b', p=percent)}) - least(dense_a, dense_b)").alias("need"),
     )
-    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.bool_or("room").alias("room"))
-    return met.where(F.col("room") & (F.col("shared") * ease >= F.col("need"))).select("a", "b")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.bool_or("room").alias("room"), F.min("centre").alias("centre"))
+    return met.where(F.col("room") & (F.col("shared") * ease >= F.col("need"))).select("a", "b", "centre")
 
 
 def op8_ngram_jaccard_join(spark, sf_dir) -> DataFrame:
