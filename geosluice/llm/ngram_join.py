@@ -47,7 +47,7 @@ from .words import distinct, mix, shingles, slices, words
 #: Heavy tokens are at most this many, so their table to broadcast has a fixed bound (8 bytes each).
 MOST_HEAVY = 4 << 20
 HEAVY_FROM = 128
-COMBINE_UP_TO = 120
+COMBINE_UP_TO = 64
 #: Document ids are broadcast up to this many; beyond it, they are joined.
 MOST_IDS = 2 << 20
 #: Passes with another document of each entry as its centre, before the remaining pairs are looked at.
