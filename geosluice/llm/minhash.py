@@ -67,13 +67,17 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+DEALT = "doc_id long, packed binary, h long, part int, tail boolean, component long"
+DEALT_COLUMNS = ["doc_id", "packed", "h", "part", "tail", "component"]
 #: Rows sampled, by hash, for each bound between parts.
 SAMPLED = 20
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed, part, tail): docs (doc_id, text) in parts whose rows are in order, texts packed, each part
-    followed by the row after it (tail), so that a task sees every row with its next one.
+def with_next(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, packed, part, tail, component): docs (doc_id, text) in parts whose rows are in order, texts packed, each
+    part followed by the row after it (tail), so that a task sees every row with its next one.
+
+    Rows of `found` (node, component), packed null, go to the parts that have their id, before its documents.
 
     Parts are bounded by (doc_id, hash of the text), so the rows of one id, or of none,
     can be many parts; a bound is a row that occurs, so it is found by equality.  The
@@ -94,24 +98,40 @@ def with_next(docs: DataFrame) -> DataFrame:
                 ids, texts, h = (batch.column(c).slice(x, y - x) for c in range(3))
                 packed, keys = zipped(texts), [(i is not None, i or 0, v) for i, v in zip(ids.to_pylist(), h.to_pylist())]
                 to = [bisect.bisect_right(bounds, k) - 1 for k in keys]
-                yield pa.record_batch([ids, packed, h, pa.array(to, pa.int32()), pa.array([False] * len(to))], ["doc_id", "packed", "h", "part", "tail"])
+                yield pa.record_batch([ids, packed, h, pa.array(to, pa.int32()), pa.array([False] * len(to)), pa.nulls(len(to), pa.int64())], DEALT_COLUMNS)
                 ends = pa.array([j for j, k in enumerate(keys) if bounds[to[j]] == k], pa.int64())
                 before = pa.array([to[j] - 1 if to[j] else last for j in ends.to_pylist()], pa.int32())
-                yield pa.record_batch([ids.take(ends), packed.take(ends), h.take(ends), before, pa.array([True] * len(ends), pa.bool_())], ["doc_id", "packed", "h", "part", "tail"])
+                yield pa.record_batch([ids.take(ends), packed.take(ends), h.take(ends), before, pa.array([True] * len(ends), pa.bool_()), pa.nulls(len(ends), pa.int64())], DEALT_COLUMNS)
+
+    def label(batches):
+        low, high = -(1 << 63), 1 << 63
+        for batch in batches:
+            rows = [(i, p, c) for i, c in zip(*(v.to_pylist() for v in batch.columns)) for p in range(max(0, bisect.bisect_right(bounds, (True, i, low)) - 1), bisect.bisect_right(bounds, (True, i, high)))]
+            if rows:
+                i, p, c = zip(*rows)
+                yield pa.record_batch([pa.array(i, pa.int64()), pa.nulls(len(i), pa.binary()), pa.array([0] * len(i), pa.int64()), pa.array(p, pa.int32()), pa.array([False] * len(i)), pa.array(c, pa.int64())], DEALT_COLUMNS)
 
-    sent = keyed.mapInArrow(deal, "doc_id long, packed binary, h long, part int, tail boolean")
-    return sent.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "tail", "doc_id", "h").drop("h")
+    sent = keyed.mapInArrow(deal, DEALT)
+    if found is not None:
+        sent = sent.union(found.select("node", "component").mapInArrow(label, DEALT))
+    sent = sent.repartitionById(last + 1, F.col("part"))
+    return sent.sortWithinPartitions("part", "tail", "doc_id", F.col("packed").isNotNull(), "h").drop("h")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
+def fingerprints(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id for each
+    row; component_id is by `found` (node, component), else the doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        held = None  # the last row so far: id, text, signature, part
+        held = None  # the last row so far: id, text, signature, part, component
+        known_in: dict[int, int] = {}  # components of nodes from this one on
         for batch in batches:
             for x in range(0, batch.num_rows, 256):
                 piece = batch.slice(x, 256)
+                for node in piece.filter(piece.column(1).is_null()).select([0, 4]).to_pylist():
+                    known_in[node["doc_id"]] = node["component"]
+                piece = piece.filter(piece.column(1).is_valid())
                 ids, parts, tails = (piece.column(c).to_pylist() for c in (0, 2, 3))
                 unpacked = unzipped(piece.column(1))
                 texts, sig = unpacked.to_pylist(), signatures(unpacked)
@@ -121,7 +141,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         rows.append(held)
                         edits.append(_edited(held[1], text))
                         pairs.append(sig[i])
-                    held = None if tails[i] else (ids[i], text, sig[i], parts[i])
+                    held = None if tails[i] else (ids[i], text, sig[i], parts[i], known_in.get(ids[i], ids[i]))
+                if len(known_in) > 1000:  # rows come by id: what is behind is done with
+                    known_in = {k: v for k, v in known_in.items() if ids and k >= (ids[-1] or 0)}
                 if not rows:
                     continue
                 own, after = np.array([r[2] for r in rows]), np.array(pairs)
@@ -135,11 +157,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                         pa.array([s.astype(">u2").tobytes().hex() for s in changed]),
                         pa.array((own == changed).mean(axis=1)),
                         pa.array((own == after).mean(axis=1)),
+                        pa.array([r[4] for r in rows], pa.int64()),
                     ],
-                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"],
                 )
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, found).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long")
 
 
 def signed(docs: DataFrame, bands: int) -> DataFrame:
@@ -216,14 +239,10 @@ def band_components(docs: DataFrame, percent: int = 80, bands: int = 16) -> Data
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 16) -> DataFrame:
     """Per row of docs with an id: doc_id and component_id, the smallest doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return _with_component(docs.select("doc_id"), band_components(docs, percent, bands))
-
-
-def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
-    joined = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return joined.select(*rows.columns, F.coalesce("component", "doc_id").alias("component_id"))
+    joined = docs.select("doc_id").join(band_components(docs, percent, bands).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op9_document_fingerprints(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _with_component(fingerprints(docs), band_components(docs))
+    return fingerprints(docs, band_components(docs))
