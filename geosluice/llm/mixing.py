@@ -5,7 +5,7 @@ share `budget` times all words; no target passes `most` times its source, and
 what is over is reshared by weight.  Filling sources by rising room per weight
 gives the end of that resharing in one pass.
 
-Order: within a source, documents follow an md5 of their id, and the stream of
+Order: within a source, documents follow an md5 of their id (of the text, if they have none), and the stream of
 their words, repeated, is taken up to the target.  The prefix sums behind it are
 made in two levels, sums of hash ranges and then places within a range, so the
 largest source is dealt over thousands of groups.
@@ -17,8 +17,10 @@ gives the time at which a word offset is due.  Documents are range-sorted by it.
 
 Everything is DataFrame functions; windows without a partition see one row per
 source only.  Cases: null text has size 0; a null source is a source; size 0 is
-taken 0 and has no position; a null doc_id sorts as the text 'null'; rows with
-equal doc_id are documents each; no words at all make all targets 0.
+taken 0 and has no position; a row without doc_id sorts by its text, so many such rows
+are many ranges; rows with equal doc_id are documents each; no words at all make all
+targets 0; only the numbers of words of a text are kept, however long it is; extra
+columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce(F.col("text").cast("string"), F.lit("")))).cast("binary")).alias("order")
+    return docs.select(order, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
@@ -86,8 +89,7 @@ def due(share: Column, knots) -> Column:
 def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST, schedules=SCHEDULES) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the times (0..1) of a document's first and second
     reading, null if there is none; sorted by the first."""
-    sized = sizes(docs).withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")))
-    sized = cut(sized.withColumn("range", F.substring("order", 1, RANGE_DIGITS)), "sizes")
+    sized = cut(sizes(docs).withColumn("range", F.substring("order", 1, RANGE_DIGITS)), "sizes")
     goal = cut(targets(sized, weights, budget, most), "targets")
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,12 +114,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST, schedules=SC
 
 
 def op4_mixing(spark, sf_dir) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Beside the contract's columns, the training times of a document's first and second reading, to nine digits."""
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *[F.round(f"position_{lap}", 9).alias(f"position_{lap}") for lap in (1, 2)])
 
 
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -131,11 +135,22 @@ t AS (
   SELECT source, source_size,
          coalesce(CASE WHEN is_full THEN room ELSE weight * (SELECT min(struct_pack(a := room / weight, b := remaining / weights_left)) FROM f WHERE NOT is_full).b END, 0) AS target FROM f
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null')), d.size ROWS UNBOUNDED PRECEDING) AS c1
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.size, t.source_size, t.target, w.weight, floor(t.target + 0.5) AS goal,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null' || coalesce(d.text, ''))), d.size ROWS UNBOUNDED PRECEDING) - d.size AS begin_1
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN w ON d.source IS NOT DISTINCT FROM w.source
+), q AS (
+  SELECT *, greatest(least(begin_1 + size, goal) - begin_1, 0) AS part_1, greatest(least(begin_1 + source_size + size, goal) - begin_1 - source_size, 0) AS part_2,
+         CAST(begin_1 AS DOUBLE) / nullif(goal, 0) AS share_1, CAST(begin_1 + source_size AS DOUBLE) / nullif(goal, 0) AS share_2
+  FROM p
 )
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(least(c1, floor(target + 0.5)) - (c1 - size), 0) + greatest(least(c1 + source_size, floor(target + 0.5)) - (c1 - size + source_size), 0) AS BIGINT) AS taken
-FROM p
+SELECT doc_id, size, source_size, target, CAST(part_1 + part_2 AS BIGINT) AS taken,
+       -- weights over time t: 1.5 - t for sources that weigh 5, even for 2, and for 1 rising from 0.2 over 0.6 at one half to 2.2,
+       -- whose integrals are solved for the time at which a share of them is reached
+       round(CASE WHEN part_1 <= 0 THEN NULL WHEN weight = 5 THEN 1.5 - sqrt(2.25 - 2 * share_1) WHEN weight = 2 THEN share_1
+                  WHEN share_1 * 0.9 < 0.2 THEN (sqrt(0.04 + 1.6 * 0.9 * share_1) - 0.2) / 0.8
+                  ELSE 0.5 + (sqrt(0.36 + 6.4 * (0.9 * share_1 - 0.2)) - 0.6) / 3.2 END, 9) AS position_1,
+       round(CASE WHEN part_2 <= 0 THEN NULL WHEN weight = 5 THEN 1.5 - sqrt(2.25 - 2 * share_2) WHEN weight = 2 THEN share_2
+                  WHEN share_2 * 0.9 < 0.2 THEN (sqrt(0.04 + 1.6 * 0.9 * share_2) - 0.2) / 0.8
+                  ELSE 0.5 + (sqrt(0.36 + 6.4 * (0.9 * share_2 - 0.2)) - 0.6) / 3.2 END, 9) AS position_2
+FROM q
 """
