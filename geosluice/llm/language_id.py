@@ -7,9 +7,11 @@ passes a rectifier and a softmax layer.  A text's windows cover it whole; its
 language is the one of the highest mean probability, windows weighing as many
 bytes as they hold.
 
-The network is trained on the driver on windows of at most `per_language`
-labelled documents for each language, which tasks cut from whole texts; that
-sample is the only bounded part.
+The network is trained on the driver on the whole texts of at most `per_language`
+different labelled texts for each language, those with the smallest hashes; that
+sample is the only bounded part, and `per_language` its only bound.
+
+Outputs whose name a column of docs has get an underscore appended; the column stays.
 
 Cases: text null or without a letter is `und` with score 0, as is everything if
 no labelled document is there to learn from; texts shorter than a window are
@@ -26,15 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .words import text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 PER_LANGUAGE = 400
-SAMPLE_WINDOWS = 4
-EPOCHS = 8
+EPOCHS = 3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -145,41 +146,43 @@ def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and labels of about per_language documents of each language, chosen by a hash of doc_id."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    """Windows and labels of the whole texts of at most per_language different texts of each language, chosen by hash.
+
+    A first cut by a share of all hashes leaves slightly more of them, so few rows come to the driver; reruns agree."""
+    labelled = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)).alias("h"))
+    counts = {r["lang"]: r["count"] for r in labelled.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * per_language / n))).otherwise(share)
-    chosen = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)) & F.col("text").isNotNull())
-
-    def run(batches):
-        for batch in batches:
-            x, owner, held = windows(batch.column(2))
-            begin = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            take = [np.unique(np.linspace(a, b - 1, SAMPLE_WINDOWS).astype(int)) for a, b in zip(begin[:-1], begin[1:]) if b > a]
-            if take:
-                take = np.concatenate(take)
-                who = pa.array(owner[take])
-                yield pa.record_batch([batch.column(0).take(who), batch.column(1).take(who), pa.array([x[i].tobytes() for i in take], pa.binary())], ["doc_id", "lang", "window"])
-
-    got = chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, window binary").limit(per_language * 2 * SAMPLE_WINDOWS * len(counts)).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["window"]))
-    languages = sorted({r["lang"] for r in got})
-    x = np.frombuffer(b"".join(r["window"] for r in got), np.uint8).reshape(-1, WINDOW)
-    return x, np.array([languages.index(r["lang"]) for r in got], int), languages
-
-
-def identify(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs with lang_pred and score; only rows for which `learn` holds are learned from, and only their text and lang."""
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * per_language / n))).otherwise(share)
+    got = labelled.where(F.col("h") < share * (1 << 30)).dropDuplicates(["lang", "h"]).orderBy("lang", "h").toArrow()
+    languages, taken, texts, y = sorted(counts), dict.fromkeys(counts, 0), [], []
+    for lang, text in zip(got["lang"].to_pylist(), got["text"]):
+        if taken[lang] < per_language:
+            taken[lang] += 1
+            texts.append(text.as_py())
+            y.append(languages.index(lang))
+    x, owner, _ = windows(pa.array(texts, pa.string()))
+    return x, np.array(y, int)[owner], languages
+
+
+def learned(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Compiled | None:
+    """The network for the languages of the rows for which `learn` holds; only their text and lang are looked at."""
+    typed = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     x, y, languages = sample(typed, learn, per_language)
-    model = docs.sparkSession.sparkContext.broadcast(Network(languages).train(x, y).compiled() if languages else None)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return Network(languages).train(x, y).compiled() if languages else None
+
+
+def identify(docs: DataFrame, learn: Column | None = None, per_language: int = PER_LANGUAGE, network: Compiled | None = None) -> DataFrame:
+    """docs with lang_pred and score, by `network` or one learned from the rows for which `learn` holds."""
+    network = learned(docs, learn, per_language) if network is None and learn is not None else network
+    languages = list(network.languages) if network is not None else []
+    model = docs.sparkSession.sparkContext.broadcast(network)
+    names = docs.columns
     at = names.index("text")
-    docs = docs.select(*names)
+    added = fresh(names, "lang_pred", "score")
+    typed = docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
         net = model.value
@@ -197,11 +200,11 @@ def identify(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -
                 letters[:] = False
             best = total.argmax(axis=1)
             score = np.where(letters, total[np.arange(n), best] / np.maximum(total.sum(axis=1), 1e-30), 0.0)
-            pred = [languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
+            pred = [str(languages[b]) if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
             cols = [c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in batch.columns]
-            yield pa.record_batch([*cols, pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))], [*names, "lang_pred", "score"])
+            yield pa.record_batch([*cols, pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))], [*names, *added])
 
-    return docs.mapInArrow(run, docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema)
+    return typed.mapInArrow(run, typed.withColumn(added[0], F.lit("")).withColumn(added[1], F.lit(0.0)).schema)
 
 
 def held_out() -> Column:
