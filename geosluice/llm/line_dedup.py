@@ -10,7 +10,10 @@ Lines with fewer occurrences than `min_sites` cannot qualify and get no sketch.
 Cases: null and empty texts have no lines and come back as they are; a null
 site is a site of its own; blank lines stay; repeated lines of a document are
 one site; of rows with equal doc_id a line stays at its first place, and lines go
-by row (known by a hash of its text), not by number alone; rows with a null doc_id keep all lines, but count for spread.
+by row (known by a hash of its text), not by number alone; rows with a null doc_id keep
+all lines, but count for spread; the lines of a long text are rows of their own, its
+text is put together again in one; outputs whose name a column of docs has get an
+underscore appended, and the column stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 MIN_SITES = 8
 SKETCH_BITS = 8
@@ -52,23 +55,24 @@ def boilerplate(docs: DataFrame, site: str, min_sites: int = MIN_SITES) -> tuple
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines taken out of text, and n_lines, n_removed (long)."""
     key = ["h1", "h2"]
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    lines_, removed, gone_, gone_id, gone_row = fresh(docs.columns, "n_lines", "n_removed", "gone", "gone_id", "gone_row")
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(site))
     places, found = boilerplate(typed, site, min_sites)
     found = cut(found, "boilerplate")
     hits = places.join(found.select(*key), key, "left_semi").where("doc_id is not null")
     first = cut(hits.groupBy(*key).agg(F.min(F.struct("doc_id", "place", "row")).alias("first")), "first")
     gone = hits.join(first, key).where(F.struct("doc_id", "place", "row") != F.col("first"))
-    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set("place").alias("gone"))
-    both = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("gone_row")), "left")
+    gone = gone.groupBy(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row)).agg(F.collect_set("place").alias(gone_))
+    both = docs.join(gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(gone_row)), "left")
     split = F.split(F.col("text").cast("string"), "\n")
     # positions to drop are few; a map makes the test for each line independent of their number
-    dropped = F.map_from_arrays("gone", F.transform("gone", lambda p: F.lit(True)))
+    dropped = F.map_from_arrays(gone_, F.transform(gone_, lambda p: F.lit(True)))
     kept = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda s: ~F.map_contains_key(dropped, s["i"]))
-    text = F.when(F.col("gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
+    text = F.when(F.col(gone_).isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
     n_lines = F.coalesce(F.size(F.filter(split, lambda line: F.trim(line) != "")).cast("long"), F.lit(0))
-    n_removed = F.coalesce(F.size("gone").cast("long"), F.lit(0))
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
+    n_removed = F.coalesce(F.size(gone_).cast("long"), F.lit(0))
+    n_removed = F.when(F.col(gone_).isNull(), 0).otherwise(n_removed).cast("long")
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.alias(lines_), n_removed.alias(removed))
 
 
 def op1_line_dedup(spark, sf_dir) -> DataFrame:
