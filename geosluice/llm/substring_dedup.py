@@ -10,15 +10,16 @@ run of `span - v + 1` words that starts, in both, at a cover position.  Only
 those anchors are hashed and compared over the corpus; windows are hashed only
 where an anchor of theirs repeats, and they decide.
 
-Hashes have 64 bits.  They travel as packed arrays, one per slice of text and
+Hashes have 64 bits: of w different windows about w * w / 2^65 pairs count as equal
+(under 1e-3 for 150 million, some millions of 1e13).  They travel as packed arrays, one per slice of text and
 hash range; a hash that occurs several times in a slice is sent once, so a
 passage that a third of all documents hold is no large group anywhere.
 
 Cases: null and empty texts have no words; texts shorter than a window keep all
 words; places belong to a row, known by a 64-bit hash of doc_id and text, so rows
 with equal or null doc_id and different texts have places of their own, and rows
-equal in both share theirs; an empty table gives an empty result; extra columns
-are ignored.
+equal in both share theirs; a text of any length is read whole, alone if it is long;
+an empty table gives an empty result; extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, spread, table
 from .words import mix, rolling, slices, words
 
 #: Difference covers by modulus.
@@ -212,8 +213,7 @@ def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_
     spark = docs.sparkSession
     docs = with_row(docs).select("row", "text")
     modulus = cover_for(span)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(16, partitions)
+    buckets = spread(docs)  # of the input's size, as a range is met in one task
 
     def all_windows(batches):
         for batch in batches:
@@ -290,12 +290,13 @@ def repeated_starts(docs: DataFrame, span: int = 35, filter_bytes: int = FILTER_
     def joined(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i in range(batch.num_rows):
-                p = Places(batch.column(1).slice(i, 1), span)
-                at = np.unique(np.frombuffer(batch.column(2)[i].as_py(), "<i4"))
-                at = p.windows(at[at < len(p.place)].astype(np.int64), modulus)
+            for a, b in slices(batch.column(1)):
+                p = Places(batch.column(1).slice(a, b - a), span)
+                known = [np.frombuffer(x, "<i4").astype(np.int64) for x in batch.column(2).slice(a, b - a).to_pylist()]
+                at = np.unique(np.concatenate([x[x < n] + low for x, n, low in zip(known, p.count, p.words.bounds)]))
+                at = p.windows(at, modulus)
                 if len(at):
-                    yield _rows(_send(p.whole[at], np.full(len(at), ids[i]), p.place[at], buckets))
+                    yield _rows(_send(p.whole[at], ids[a:b][p.row[at]], p.place[at], buckets))
 
     found = _repeated(docs.mapInArrow(anchors(True), SENT), buckets)
     both = docs.join(found, F.col("row") == F.col("found_row"))
