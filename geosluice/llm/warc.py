@@ -16,7 +16,9 @@ Cases: null html is an empty payload; a null page_id is written as `null`, and
 read back as null; a null url has no target; rows with the smallest page_id of a
 payload are responses all; rows with equal page_id are told apart by a serial
 number; segments missing or at odds with the total length give record_type
-`damaged` with a null payload; no pages, no archives, an empty result.
+`damaged` with a null payload; a long payload is many segments, put together in one
+task; extra columns are ignored whatever their names; no pages, no archives, an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import cut, scratch, table
 
 SEGMENT = 16 << 10
 CHUNK = 4 << 10
 RECORDS_PER_FILE = 20_000
 SMALLEST_REVISIT = 100
+#: Payloads with several holders are broadcast up to this many (about 100 bytes each).
+MOST_KNOWN = 250_000
 READ = "record_id string, record_type string, page_id string, refers_to string, digest string, segment long, total long, block binary"
 
 
@@ -86,12 +90,25 @@ def page_records(page, serial: int, url, body: bytes, digest: str, refers_to, se
     return out
 
 
+def look_up(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of known (keys, n rows of each, ...) for their keys, null if there are none.
+
+    Up to MOST_KNOWN keys are broadcast, so rows with their bodies stay where they are; of more,
+    only those of the most rows, which are at most so many, and the others meet by a shuffle."""
+    if known.count() <= MOST_KNOWN:
+        return rows.join(F.broadcast(known.drop("n")), keys, "left")
+    often = known.agg(F.sum("n")).first()[0] // MOST_KNOWN
+    hot, other = known.where(F.col("n") > often).drop("n"), known.where(F.col("n") <= often).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(other, keys, "left")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT, records_per_file: int = RECORDS_PER_FILE) -> None:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body"))
     p = p.withColumn("digest", F.sha2("body", 256))
     # a digest with one holder needs no look-up, so the joined side is as small as the repeats are
-    first = p.where(F.octet_length("body") >= SMALLEST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    p = p.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    first = p.where(F.octet_length("body") >= SMALLEST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    p = look_up(p, cut(first, "first"), ["digest"]).withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
     p = p.withColumn("serial", F.monotonically_increasing_id())
 
     def run(batches):
@@ -208,9 +225,13 @@ def _read(rows) -> pa.RecordBatch:
 def resolved(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit takes its length from its response."""
     own = records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.coalesce(F.sha2("payload", 256), "digest").alias("payload_digest"), "record_type", "refers_to")
-    known = own.where("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct()
-    seen = own.where("record_type = 'revisit'").join(known, (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
-    return own.where("record_type <> 'revisit'").unionByName(seen.select("page_id", F.col("b").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
+    own = cut(own, "records")  # archives are parsed once
+    key = ["refers_to", "payload_digest"]
+    known = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    seen = own.where("record_type = 'revisit'").drop("payload_bytes")
+    named = seen.groupBy(*key).agg(F.count("*").alias("n")).join(known, key)
+    found = look_up(seen, cut(named, "named"), key)
+    return own.where("record_type <> 'revisit'").unionByName(found.select(*own.columns))
 
 
 def op5_warc(spark, sf_dir) -> DataFrame:
