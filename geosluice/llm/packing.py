@@ -11,7 +11,8 @@ only characters on which both libraries split alike, else from tokenizers; tests
 hold the two against each other.
 
 Cases: null and empty texts are their closing id alone; rows with equal doc_id
-are packed each; a null doc_id is packed like any other; no rows, no pieces.
+are packed each; a null doc_id is packed like any other; a long text is encoded whole,
+alone; extra columns are ignored whatever their names; no rows, no pieces.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ ranked at the end.
 Cases: vectors null, empty, or holding null or non-finite components take no
 part, as query or candidate; vectors of different lengths do not meet; equal
 scores go to the smaller vec_id; rows with equal vec_id are candidates each,
-and none is a candidate for a query of its own id; a null vec_id takes no part.
+and none is a candidate for a query of its own id; a null vec_id takes no part; extra
+columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
