@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
 1. language: documents whose language cannot be told go (no text, no letter, or
-   no language clearly ahead).
+   a best language that is not 1.5 times as likely as a guess among those learned).
 2. lines: boilerplate lines go, wherever they are not at their first document.
 3. near_duplicates: of each group of documents linked at 0.8 on five-word
    shingles, the one with the smallest doc_id stays.
@@ -10,19 +10,21 @@
 5. packing: token pieces in sequences.
 
 Rows with equal doc_id stay or go together; rows with a null doc_id are no
-near duplicates and are mixed as one document; empty tables pass through.
-SQL cannot express stage 1, so ORACLE_SQL is None; tests check stages 2 to 5
-against brute force, and stage 1 by held-out accuracy.
+near duplicates and are mixed as one document; empty tables pass through; extra
+columns stay as they are, whatever their names.  SQL cannot express stage 1, so
+ORACLE_SQL is None; a test runs all stages over a small table against plain Python,
+given the languages that stage 1 finds.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosluice.llm import language_id, line_dedup, mixing, ngram_join, packing
-from geosluice.llm.common import scratch, table
+from geosluice.llm.common import fresh, scratch, table
 
 ORACLE_SQL = None
-LEAST_SCORE = 0.3
+#: The best language's mean probability must be this many times that of a guess among the languages.
+LEAST_LEAD = 1.5
 
 
 def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -33,8 +35,11 @@ def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = language_id.identify(docs, ~language_id.held_out())
-    return out.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    network = language_id.learned(docs, ~language_id.held_out())
+    pred, score = fresh(docs.columns, "lang_pred", "score")
+    least = LEAST_LEAD / len(network.languages) if network is not None and len(network.languages) > 1 else 0.0
+    out = language_id.identify(docs, network=network)
+    return out.where((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +53,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).select(F.col("doc_id").alias("mixed_id"), F.array_compact(F.array("position_1", "position_2")).alias("due"))
-    mixed = mixed.groupBy("mixed_id").agg(F.max("due").alias("due"))
-    due = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("due", F.explode("due"))
-    return due.repartitionByRange("due", "doc_id").sortWithinPartitions("due", "doc_id").select(*docs.columns)
+    due, mixed_id = fresh(docs.columns, "due", "mixed_id")
+    mixed = mixing.mix(docs).select(F.col("doc_id").alias(mixed_id), F.array_compact(F.array("position_1", "position_2")).alias(due))
+    mixed = mixed.groupBy(mixed_id).agg(F.max(due).alias(due))
+    out = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(mixed_id))).withColumn(due, F.explode(due))
+    return out.repartitionByRange(due, "doc_id").sortWithinPartitions(due, "doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
