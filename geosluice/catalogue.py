@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shape_queries
 from .functions import geometry as g
 from .functions import scalar as s
+from .functions import shapes as sh
 from .functions import temporal as d
 from .functions import tiles as t
 from .functions import trajectory as tr
@@ -36,22 +38,14 @@ FROM (SELECT s_suppkey AS zone_id,
             ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS d FROM orders""",
     "dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 - 30 AS INT) AS e FROM orders",
     "parcels": """SELECT c_custkey, '27' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || lpad(CAST((c_custkey * 7) % 1000 AS STRING), 3, '0')
-            || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '1' || lpad(CAST(c_custkey AS STRING), 4, '0')
-            || lpad(CAST((c_custkey * 3) % 10000 AS STRING), 4, '0') AS pnu FROM customer WHERE c_custkey < 10000""",
+            || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '1' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')
+            || lpad(CAST((c_custkey * 3) % 10000 AS STRING), 4, '0') AS pnu FROM customer""",
     "csv_pairs": "SELECT p_partkey, p_brand || ',' || p_type AS a, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE p_type || ',' || p_name END AS b FROM part",
     "customer": "SELECT * FROM customer",
     "events": "SELECT event_id, user_id, ts, props FROM events",
     "embeddings": "SELECT vec_id, embedding FROM embeddings",
 }
 
-#: What a query reads where the SQL's fixture leaves rows out: `parcels` stops at customer 9999.
-WHOLE = {
-    "parcels": """SELECT c_custkey, '27' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || lpad(CAST((c_custkey * 7) % 1000 AS STRING), 3, '0')
-            || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '1' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')
-            || lpad(CAST((c_custkey * 3) % 10000 AS STRING), 4, '0') AS pnu FROM customer""",
-}
-
-
 def tables(spark: SparkSession, sf_dir: str) -> None:
     configure(spark)
     for name in TABLES:
@@ -60,7 +54,7 @@ def tables(spark: SparkSession, sf_dir: str) -> None:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables(spark, sf_dir)
-    return spark.sql(WHOLE.get(name, FIXTURES[name]))
+    return spark.sql(FIXTURES[name])
 
 
 def _box(*names: str):
@@ -145,19 +139,19 @@ SCALARS: dict[str, tuple[str, str, Callable, str]] = {
     "geo_area": ("zones", "zone_id", lambda: F.round(g.area(g.polygon_of(_box())), 6), "round((maxx - minx) * (maxy - miny), 6)"),
     "geo_length": ("zones", "zone_id", lambda: g.length(F.get(g.polygon_of(_box()), F.lit(0))), "2 * (maxx - minx + maxy - miny)"),
     "geo_envelope": ("zones", "zone_id", lambda: g.envelope_text(g.envelope_of(F.get(g.polygon_of(_box()), F.lit(0)))), "CAST(minx AS VARCHAR) || ';' || CAST(miny AS VARCHAR) || ';' || CAST(maxx AS VARCHAR) || ';' || CAST(maxy AS VARCHAR)"),
-    "geo_centroid": ("zones", "zone_id", lambda: F.round(g.centroid(F.get(g.polygon_of(_box()), F.lit(0)))["x"], 6), "round((minx + maxx) / 2, 6)"),
+    "geo_centroid": ("zones", "zone_id", lambda: F.concat_ws(" ", *[F.round(g.centroid(F.get(g.polygon_of(_box()), F.lit(0)))[k], 6).cast("string") for k in "xy"]), "round((minx + maxx) / 2, 6) || ' ' || round((miny + maxy) / 2, 6)"),
     "geo_contains": ("pts", "pt_id", lambda: g.inside(g.polygon_of(g.envelope(*map(F.lit, (127.0, 34.0, 129.0, 37.0)))), _pt()), "lon > 127 AND lon < 129 AND lat > 34 AND lat < 37"),
     "geo_intersects": ("pts", "pt_id", lambda: g.intersects(g.polygon_of(g.envelope(*map(F.lit, (127.0, 34.0, 129.0, 37.0)))), _pt()), "lon >= 127 AND lon <= 129 AND lat >= 34 AND lat <= 37"),
     "geo_touches": ("pts", "pt_id", lambda: g.on_border(g.polygon_of(g.envelope(*map(F.lit, (127.0, 34.0, 129.0, 37.0)))), _pt()), "(lon BETWEEN 127 AND 129 AND lat BETWEEN 34 AND 37) AND NOT (lon > 127 AND lon < 129 AND lat > 34 AND lat < 37)"),
     "geo_intersection": ("zones", "zone_id", lambda: g.envelope_area(g.intersection(_box(), g.envelope(*map(F.lit, (127.0, 34.0, 129.0, 37.0))))), "CASE WHEN minx <= 129 AND maxx >= 127 AND miny <= 37 AND maxy >= 34 THEN (least(maxx, 129) - greatest(minx, 127)) * (least(maxy, 37) - greatest(miny, 34)) END"),
     "geo_envelope_overlaps": ("zones", "zone_id", lambda: g.overlaps_area(_box(), g.envelope(*map(F.lit, (127.0, 34.0, 129.0, 37.0)))), "minx < 129 AND maxx > 127 AND miny < 37 AND maxy > 34"),
-    "geo_closest_point": ("pts", "pt_id", lambda: g.closest_point(_pt(), F.array(g.point(F.lit(127.0), F.lit(34.0)), g.point(F.lit(129.0), F.lit(34.0))))["x"], "greatest(127.0::DOUBLE, least(129.0::DOUBLE, lon))"),
+    "geo_closest_point": ("pts", "pt_id", lambda: g.closest_point(_pt(), F.array(g.point(F.lit(127.0), F.lit(34.0)), g.point(F.lit(129.0), F.lit(34.0))))["x"] + F.lit(34.0) * 1000, "greatest(127.0::DOUBLE, least(129.0::DOUBLE, lon)) + 34000"),
     "geo_bearing": ("pts", "pt_id", lambda: F.round(g.bearing(g.point(F.lit(125.0), F.lit(32.0)), _pt()), 6), "round(degrees(atan2(lon - 125, lat - 32)), 6)"),
     "geo_geodesic_distance": ("pts", "pt_id", lambda: F.round(g.geodesic_distance(g.point(F.lit(127.0), F.lit(34.0)), _pt()), 3), "round(2 * 6371008.8::DOUBLE * asin(least(1, sqrt(power(sin(radians(lat - 34) / 2), 2) + cos(radians(34)) * cos(radians(lat)) * power(sin(radians(lon - 127) / 2), 2)))), 3)"),
     "geo_json": ("pts", "pt_id", lambda: g.point_json(_pt()), "'{\"type\":\"Point\",\"coordinates\":[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']}'"),
     "tile_x": ("pts", "pt_id", lambda: t.tile_x(_c("lon"), 9), "CAST(floor((lon + 180) / 360 * 512) AS INTEGER)"),
     "tile_y": ("pts", "pt_id", lambda: t.tile_y(_c("lat"), 9), "CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 512) AS INTEGER)"),
-    "quadkey_round_trip": ("pts", "pt_id", lambda: t.tile_of(t.quadkey(t.tile_x(_c("lon"), 9), t.tile_y(_c("lat"), 9), 9))["x"], "CAST(floor((lon + 180) / 360 * 512) AS INTEGER)"),
+    "quadkey_round_trip": ("pts", "pt_id", lambda: F.concat_ws("/", *[t.tile_of(t.quadkey(t.tile_x(_c("lon"), 9), t.tile_y(_c("lat"), 9), 9))[k].cast("string") for k in ("zoom", "x", "y")]), "'9/' || CAST(floor((lon + 180) / 360 * 512) AS INTEGER) || '/' || CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 512) AS INTEGER)"),
     "catalog_id": ("customer", "c_custkey", lambda: _normal_id(F.concat(F.lit(" "), "c_name", F.lit("/ "))), "'/' || c_name"),
 }
 
@@ -168,6 +162,8 @@ def _normal_id(c):
     return normal_id_column(c)
 
 
+SCALARS |= shape_queries.SCALARS
+
 #: Columns that SQL needs beside the fixture's.
 EXTRA = {"p_value": ", abs(c_acctbal / 5000.0::DOUBLE) / sqrt(2) AS z, 1 / (1 + 0.3275911::DOUBLE * abs(c_acctbal / 5000.0::DOUBLE) / sqrt(2)) AS t"}
 
@@ -220,10 +216,45 @@ def join_zones_contain(spark, sf_dir) -> DataFrame:
 def join_points_within_distance(spark, sf_dir) -> DataFrame:
     p = points(spark, sf_dir)
     a, b = p.select(F.col("pt_id").alias("l_id"), F.col("pt").alias("l_pt")), p.select(F.col("pt_id").alias("r_id"), F.col("pt").alias("r_pt"))
-    j = sj.distance_join(a, b, "l_pt", "r_pt", 1 / 16)
+    j = sj.distance_join(a, b, "l_pt", "r_pt", 1 / 4)
     return j.where("l_id < r_id").groupBy("l_id").agg(F.count("*").alias("n_near"))
 
 
+def triangles(spark, sf_dir, prefix: str = "") -> DataFrame:
+    """The lower left half of each zone as a polygon."""
+    corner = lambda *names: F.array(*[g.point(F.col(x), F.col(y)) for x, y in names])
+    ring = corner(("minx", "miny"), ("maxx", "miny"), ("minx", "maxy"), ("minx", "miny"))
+    return fixture(spark, sf_dir, "zones").select(F.col("zone_id").alias(f"{prefix}zone_id"), sh.of_polygon(F.array(ring)).alias(f"{prefix}shape"))
+
+
+def join_points_in_polygons(spark, sf_dir) -> DataFrame:
+    p = fixture(spark, sf_dir, "pts").select("pt_id", sh.of_point(_pt()).alias("pt"))
+    return sj.shape_join(p, triangles(spark, sf_dir), "pt", "shape", "intersects").select("pt_id", "zone_id")
+
+
+def diagonals(spark, sf_dir) -> DataFrame:
+    line = F.array(g.point(F.col("minx"), F.col("miny")), g.point(F.col("maxx"), F.col("maxy")))
+    return fixture(spark, sf_dir, "zones").select(F.col("zone_id").alias("line_id"), sh.of_line(line).alias("line"))
+
+
+def join_lines_with_polygons(spark, sf_dir) -> DataFrame:
+    return sj.shape_join(diagonals(spark, sf_dir), triangles(spark, sf_dir), "line", "shape").select("line_id", "zone_id")
+
+
+def join_shapes_within_distance(spark, sf_dir) -> DataFrame:
+    """Points and zones at most an eighth apart."""
+    p = fixture(spark, sf_dir, "pts").select("pt_id", sh.of_point(_pt()).alias("pt"))
+    z = zones(spark, sf_dir).select("zone_id", sh.of_envelope(F.col("box")).alias("shape"))
+    return sj.shape_join(p, z, "pt", "shape", "within_distance(0.125)").select("pt_id", "zone_id")
+
+
+def join_matches(spark, sf_dir) -> DataFrame:
+    """Each point with the zones that hold it, as a list."""
+    j = sj.intersects_join(points(spark, sf_dir), zones(spark, sf_dir), "pt_box", "box")
+    got = sj.matched(j, ["pt_id"], ["zone_id"])
+    return got.select("pt_id", F.array_join(F.transform("inners", lambda v: v["zone_id"].cast("string")), ",").alias("zones"))
+
+
 def join_key_matches(spark, sf_dir) -> DataFrame:
     p = points(spark, sf_dir)
     key = lambda z: t.quadkey(t.tile_x(_c("lon"), z), t.tile_y(_c("lat"), z), z)
@@ -266,14 +297,13 @@ def attach_quadkey(spark, sf_dir) -> DataFrame:
 
 
 def cluster_statistics(spark, sf_dir) -> DataFrame:
-    a = clusters.attach_quadkey(zones(spark, sf_dir), "box", 8)
-    st = clusters.cluster_stats(a)
-    return st.agg(F.count("*").alias("n_clusters"), F.sum("count").alias("n_rows"), F.sum("replica_count").alias("n_replicas"))
+    st = clusters.cluster_stats(clusters.attach_quadkey(zones(spark, sf_dir), "box", 8))
+    west = F.round(F.col("quad_bounds")["minx"], 9).alias("west")
+    return st.select("quad_key", "minx", "miny", "maxx", "maxy", "count", "replica_count", west)
 
 
 def sampled_space(spark, sf_dir) -> DataFrame:
-    sp = clusters.sampled_space(points(spark, sf_dir), "pt_box", F.lit(16), 2000)
-    return sp.agg(F.sum("length").alias("total"), F.max(F.when(F.length("quad_key") < 12, F.col("length"))).alias("most"))
+    return clusters.sampled_space(points(spark, sf_dir), "pt_box", F.lit(16), 2000)
 
 
 def range_query(spark, sf_dir) -> DataFrame:
@@ -314,26 +344,66 @@ def trajectory_measures(spark, sf_dir) -> DataFrame:
 
 
 P, Z = FIXTURES["pts"], FIXTURES["zones"]
+
+
+def _key_sql(x: str, y: str, zoom: int) -> str:
+    """The quadkey of a tile: of each bit from the highest on, that of x and twice that of y."""
+    return " || ".join(f"CAST((({x}) >> {i}) % 2 + 2 * ((({y}) >> {i}) % 2) AS VARCHAR)" for i in reversed(range(zoom)))
+
+
+def _tile_sql(lon: str, lat: str, zoom: int) -> tuple[str, str]:
+    n = 1 << zoom
+    return f"CAST({_TX.format(lon=lon, n=n)} AS BIGINT)", f"CAST({_TY.format(lat=lat, n=n)} AS BIGINT)"
+
 _TX = "floor(({lon} + 180) / 360 * {n})"
 _TY = "floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * {n})"
 _TILES = "({x1} - {x0} + 1) * ({y1} - {y0} + 1)".format(x1=_TX.format(lon="maxx", n=256), x0=_TX.format(lon="minx", n=256), y1=_TY.format(lat="miny", n=256), y0=_TY.format(lat="maxy", n=256))
 
+_X8, _X0 = _tile_sql("maxx", "miny", 8), _tile_sql("minx", "maxy", 8)
+_XC = _tile_sql("(minx + maxx) / 2", "(miny + maxy) / 2", 8)
+_CLUSTERS = f"""WITH z AS ({Z}), t AS (
+  SELECT *, unnest(generate_series({_X0[0]}, {_X8[0]})) AS x FROM z
+), u AS (
+  SELECT *, unnest(generate_series({_X0[1]}, {_X8[1]})) AS y FROM t
+)
+SELECT {_key_sql("x", "y", 8)} AS quad_key, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS count,
+       count(*) FILTER (x <> {_XC[0]} OR y <> {_XC[1]}) AS replica_count, round(min(x) / 256.0::DOUBLE * 360 - 180, 9) AS west
+FROM u GROUP BY x, y"""
+_PT = _tile_sql("lon", "lat", 12)
+_SPACE = f"""WITH p AS (SELECT {_key_sql(*_PT, 12)} AS k FROM ({P}) p),
+l AS (SELECT k, unnest(range(13)) AS z FROM p), s AS (SELECT substr(k, 1, z) AS quad_key, CAST(16 * count(*) AS BIGINT) AS length FROM l GROUP BY ALL)
+SELECT a.quad_key, a.length FROM s a LEFT JOIN s b ON len(a.quad_key) > 0 AND b.quad_key = substr(a.quad_key, 1, len(a.quad_key) - 1)
+WHERE (a.length <= 2000 OR len(a.quad_key) = 12) AND (len(a.quad_key) = 0 OR b.length > 2000)"""
+_P9 = _tile_sql("lon", "lat", 9)
+_MATCHES = f"""WITH p AS (SELECT {_P9[0]} AS x, {_P9[1]} AS y FROM ({P}) p)
+SELECT {_key_sql("x >> 3", "y >> 3", 6)} AS l_key, count(DISTINCT (x, y)) AS n_keys FROM p GROUP BY x >> 3, y >> 3"""
+_TRIANGLE = "x >= minx AND y >= miny AND (x - minx) * (maxy - miny) + (y - miny) * (maxx - minx) <= (maxx - minx) * (maxy - miny)"
+# the stretch of the diagonal that is right of, above, and below the three sides of the triangle
+_STRETCH = """greatest(0, (b.minx - a.minx) / (a.maxx - a.minx), (b.miny - a.miny) / (a.maxy - a.miny))
+   <= least(1, ((b.maxx - b.minx) * (b.maxy - b.miny) - (a.minx - b.minx) * (b.maxy - b.miny) - (a.miny - b.miny) * (b.maxx - b.minx))
+              / ((a.maxx - a.minx) * (b.maxy - b.miny) + (a.maxy - a.miny) * (b.maxx - b.minx)))"""
+_GAP = "greatest(0, minx - lon, lon - maxx) * greatest(0, minx - lon, lon - maxx) + greatest(0, miny - lat, lat - maxy) * greatest(0, miny - lat, lat - maxy)"
+
 #: name: (query, SQL)
 PLANS = {
+    "join_points_in_polygons": (join_points_in_polygons, f"SELECT pt_id, zone_id FROM (SELECT pt_id, lon AS x, lat AS y FROM ({P}) p) p JOIN ({Z}) z ON {_TRIANGLE}"),
+    "join_lines_with_polygons": (join_lines_with_polygons, f"SELECT a.zone_id AS line_id, b.zone_id FROM ({Z}) a JOIN ({Z}) b ON {_STRETCH}"),
+    "join_shapes_within_distance": (join_shapes_within_distance, f"SELECT pt_id, zone_id FROM ({P}) p JOIN ({Z}) z ON {_GAP} <= 0.125 * 0.125"),
+    "join_matches": (join_matches, f"SELECT pt_id, string_agg(CAST(zone_id AS VARCHAR), ',' ORDER BY zone_id) AS zones FROM ({P}) p JOIN ({Z}) z ON lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy GROUP BY pt_id"),
     "geo_ellipsoid_distance": (ellipsoid_distance, None),
     "join_points_in_zones": (join_points_in_zones, f"SELECT zone_id, count(*) AS n_points FROM ({P}) p JOIN ({Z}) z ON lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy GROUP BY zone_id"),
     "join_zones_with_zones": (join_zones_with_zones, f"SELECT a.zone_id AS l_zone_id, b.zone_id AS r_zone_id FROM ({Z}) a JOIN ({Z}) b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy"),
     "join_zones_contain": (join_zones_contain, f"SELECT a.zone_id AS l_zone_id, b.zone_id AS r_zone_id FROM ({Z}) a JOIN ({Z}) b ON a.minx <= b.minx AND b.maxx <= a.maxx AND a.miny <= b.miny AND b.maxy <= a.maxy"),
-    "join_points_within_distance": (join_points_within_distance, f"SELECT a.pt_id AS l_id, count(*) AS n_near FROM ({P}) a JOIN ({P}) b ON a.pt_id < b.pt_id AND b.lon BETWEEN a.lon - 0.0625 AND a.lon + 0.0625 AND (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) <= 0.0625 * 0.0625 GROUP BY a.pt_id"),
-    "join_key_matches": (join_key_matches, None),
+    "join_points_within_distance": (join_points_within_distance, f"SELECT a.pt_id AS l_id, count(*) AS n_near FROM ({P}) a JOIN ({P}) b ON a.pt_id < b.pt_id AND b.lon BETWEEN a.lon - 0.25 AND a.lon + 0.25 AND (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) <= 0.25 * 0.25 GROUP BY a.pt_id"),
+    "join_key_matches": (join_key_matches, _MATCHES),
     "select_columns": (select_columns, "SELECT * EXCLUDE (c_mktsegment) FROM customer"),
     "select_joined": (select_joined, "SELECT c_custkey, c_name AS who, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "key_order": (key_order, f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY k1 DESC NULLS FIRST, k2 ASC NULLS FIRST, o_orderkey) AS INTEGER) AS place FROM ({FIXTURES['keys_nullable']}) f"),
     "key_groups": (key_groups, f"SELECT k2, k1, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ({FIXTURES['keys_nullable']}) f GROUP BY k2, k1"),
     "stats_partition": (stats_partition, f"SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS count, CAST(32 * count(*) AS BIGINT) AS size FROM ({Z}) z"),
     "attach_quadkey": (attach_quadkey, f"SELECT zone_id, CAST({_TILES} AS BIGINT) AS n_tiles, CAST(1 AS BIGINT) AS n_owned FROM ({Z}) z"),
-    "cluster_statistics": (cluster_statistics, None),
-    "sampled_space": (sampled_space, None),
+    "cluster_statistics": (cluster_statistics, _CLUSTERS),
+    "sampled_space": (sampled_space, _SPACE),
     "range_query": (range_query, f"SELECT zone_id FROM ({Z}) z WHERE minx <= 128.5 AND maxx >= 127 AND miny <= 36.5 AND maxy >= 34"),
     "trajectory_measures": (
         trajectory_measures,

@@ -183,6 +183,11 @@ def bearing(a: Column, b: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(b["x"] - a["x"], b["y"] - a["y"])), F.lit(360.0))
 
 
+def gradient(a: Column, b: Column) -> Column:
+    """Degrees in [0, 360) of the line from a to b: due south 0, east 90, north 180, west 270."""
+    return F.pmod(F.degrees(F.atan2(b["x"] - a["x"], a["y"] - b["y"])), F.lit(360.0))
+
+
 EARTH_RADIUS = 6_371_008.8
 
 

@@ -41,6 +41,14 @@ def tile_bounds(x: Column, y: Column, zoom: int) -> Column:
     return F.struct(lon(x).alias("minx"), lat(y + 1).alias("miny"), lon(x + 1).alias("maxx"), lat(y).alias("maxy"))
 
 
+def bounds_of(tile: Column) -> Column:
+    """The envelope of a tile of any zoom, in degrees."""
+    n = F.pow(F.lit(2.0), tile["zoom"])
+    lon = lambda i: i / n * 360.0 - 180.0
+    lat = lambda j: F.degrees(F.atan(F.sinh(F.pi() * (1.0 - j * 2.0 / n))))
+    return F.struct(lon(tile["x"]).alias("minx"), lat(tile["y"] + 1).alias("miny"), lon(tile["x"] + 1).alias("maxx"), lat(tile["y"]).alias("maxy"))
+
+
 def in_range(e: Column) -> Column:
     """Whether an envelope lies where tiles are."""
     return F.coalesce((e["minx"] >= -180) & (e["maxx"] <= 180) & (e["miny"] >= -MAX_LATITUDE) & (e["maxy"] <= MAX_LATITUDE), F.lit(False))

@@ -50,10 +50,12 @@ def attach_quadkey(df: DataFrame, box: str, zoom: int, outliers: bool = True, ow
 
 
 def cluster_stats(attached: DataFrame) -> DataFrame:
-    """Per quadkey: data bounds, count with replicas, and replicas."""
+    """Per quadkey: bounds of its tile (null for outliers), data bounds, count with replicas, and replicas."""
     b = F.col("__mbr")
     bounds = [F.min(b["minx"]).alias("minx"), F.min(b["miny"]).alias("miny"), F.max(b["maxx"]).alias("maxx"), F.max(b["maxy"]).alias("maxy")]
-    return attached.groupBy(F.col("__quad_key").alias("quad_key")).agg(*bounds, F.count("*").alias("count"), F.count_if(~F.col("__owned")).alias("replica_count"))
+    out = attached.groupBy(F.col("__quad_key").alias("quad_key")).agg(*bounds, F.count("*").alias("count"), F.count_if(~F.col("__owned")).alias("replica_count"))
+    tile = t.tile_of(F.col("quad_key"))
+    return out.withColumn("quad_bounds", F.when(F.col("quad_key") != OUTLIER_KEY, t.bounds_of(tile)))
 
 
 def store(df: DataFrame, box: str, path: str, zoom: int) -> None:
@@ -75,8 +77,8 @@ def range_query(spark: SparkSession, path: str, minx: float, miny: float, maxx:
     rng = g.envelope(*(F.lit(v) for v in (minx, miny, maxx, maxy)))
     index = spark.read.parquet(f"{path}/index").where(F.col("quad_key") != OUTLIER_KEY)
     hits = index.where(g.meets(F.struct("minx", "miny", "maxx", "maxy"), rng)).select("quad_key")
-    names = [r[0] for r in hits.collect()]  # keys of one range's tiles
-    data = load(spark, path).where(F.col("__quad_key").isin(names)) if names else load(spark, path).where(F.lit(False))
+    # the index, a row for each tile, prunes the folders that are read
+    data = load(spark, path).join(hits.withColumnRenamed("quad_key", "__quad_key"), "__quad_key", "left_semi")
     ref = g.centre(g.intersection(F.col("__mbr"), rng))
     owner = t.quadkey(t.tile_x(ref["x"], zoom), t.tile_y(ref["y"], zoom), zoom)
     return data.where(g.meets(F.col("__mbr"), rng) & (owner == F.col("__quad_key")))

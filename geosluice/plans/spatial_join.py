@@ -1,55 +1,105 @@
 """Spatial joins planned as grid-cell equi-joins.
 
-Both sides' envelopes are cut into cells of one planar grid; rows meet on equal
-cells by a hash or merge join; the cheap envelope test and then the exact
-relation filter; and a pair is kept only in the cell that holds the reference
-point (the centre of the envelopes' common part), so each pair comes once
-without a distinct.  Cells are half open, so a point on a cell's edge has one
-owner.  Rows without an envelope match nothing; there is no outer limit of
-coordinates, so the result is that of the plain predicate."""
+Grids have cells of a base size, twice that, and so on.  A row's own level is the first
+whose cells are as wide as its envelope, so it meets at most four cells there.  Rows of
+two levels meet in the grid of the coarser one: a row is sent to its own level and to
+those coarser levels that rows of the other side have, at most four cells in each, so
+boxes of any size cost the same.  The cheap envelope test and then the exact relation
+filter, and a pair is kept only in the cell that holds the lower left corner of the
+envelopes' common part, so each pair comes once without a distinct.  Cells are half
+open, so a point on a cell's edge has one owner.  Cells with very many rows are split by
+the engine's skew handling, as both sides come from a shuffle.
+
+Rows without an envelope, or with a coordinate that is null, NaN or infinite, match
+nothing; there is no other limit of coordinates, so the result is that of the plain
+predicate."""
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import shapes as sh
 
+SIDES = ("minx", "miny", "maxx", "maxy")
 
-def choose_cell(df: DataFrame, box: str, least: float = 0.0) -> float:
-    """A cell about as wide as the mean envelope, and not finer than the rows are dense: one small aggregate."""
-    b = F.col(box)
-    wide, x0, x1, n = df.agg(F.avg((b["maxx"] - b["minx"] + b["maxy"] - b["miny"]) / 2), F.min(b["minx"]), F.max(b["maxx"]), F.count(b)).first()
-    if not n:
-        return 1.0
-    return max(least, wide, (x1 - x0) / max(1.0, n**0.5)) or 1.0
 
+def _sound(b: Column) -> Column:
+    finite = lambda c: F.coalesce(F.abs(b[c]) < float("inf"), F.lit(False))
+    return finite("minx") & finite("miny") & finite("maxx") & finite("maxy") & (b["minx"] <= b["maxx"]) & (b["miny"] <= b["maxy"])
 
-def _cells(df: DataFrame, box: Column, cell: float, side: str) -> DataFrame:
-    b = F.col("__box_" + side)
-    span = lambda low, high: F.sequence(F.floor(b[low] / cell), F.floor(b[high] / cell))
-    xs, ys = span("minx", "maxx"), span("miny", "maxy")
-    tiles = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    known = b["minx"].isNotNull() & b["miny"].isNotNull() & b["maxx"].isNotNull() & b["maxy"].isNotNull()
-    return df.withColumn("__box_" + side, box).where(known).withColumn("__cell", F.explode(tiles))
+
+def choose_cell(left: DataFrame, right: DataFrame, left_box: str, right_box: str, least: float = 0.0) -> float:
+    """A cell about as wide as the smaller side's usual envelope, and not finer than rows are dense: an aggregate of each side.
+
+    Percentiles, so that a few huge or far envelopes do not matter."""
+    wide, dense = [], []
+    for df, box in ((left, left_box), (right, right_box)):
+        b = F.col(box)
+        ends = [F.percentile_approx(b[c], F.array(F.lit(0.02), F.lit(0.98))) for c in ("minx", "miny")]
+        side, xs, ys, n = df.where(_sound(b)).agg(F.percentile_approx(F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"]), 0.5), *ends, F.count("*")).first()
+        if not n:
+            return 1.0
+        wide.append(side)
+        dense.append(max(xs[1] - xs[0], ys[1] - ys[0]) / n**0.5)
+    cell = max(least, min(wide), min(dense))
+    return cell if 0 < cell < float("inf") else 1.0
+
+
+def _level(b: Column, cell: float) -> Column:
+    side = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"]) / F.lit(cell)
+    return F.when(side <= 1, 0).when(side < float("inf"), F.ceil(F.log2(side)).cast("int")).otherwise(1 << 10)
+
+
+def _cells(df: DataFrame, side: str, cell: float, levels: list[int]) -> DataFrame:
+    """A row for each cell in which it can meet rows of the other side, which has these levels."""
+    b, own = F.col("__box_" + side), F.col("__level_" + side)
+    tell = F.signum(F.col("__box_" + side)["minx"] * 0 + 1)  # 1.0, of the row
+    turn = 1 if side == "l" else -1
+    goals = F.array_distinct(F.transform(F.array(*map(F.lit, levels)), lambda v: F.struct(F.greatest(v, own).alias("level"), F.signum((v - own) * turn).cast("int").alias("turn"))))
+
+    def tiles(goal: Column) -> Column:
+        size = F.pow(F.lit(2.0), goal["level"]) * cell * tell
+        span = lambda low, high: F.sequence(F.floor(b[low] / size), F.floor(b[high] / size))
+        ys = span("miny", "maxy")
+        return F.flatten(F.transform(span("minx", "maxx"), lambda x: F.transform(ys, lambda y: F.struct(goal["level"].alias("level"), goal["turn"].alias("turn"), x.alias("x"), y.alias("y")))))
+
+    return df.withColumn("__cell", F.explode(F.flatten(F.transform(goals, tiles))))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, relation: Callable[[], Column] | None = None, distance: float = 0.0, cell: float | None = None) -> DataFrame:
     """Pairs whose envelopes, the left expanded by `distance`, meet and for which `relation` holds.
 
     Column names of the sides must differ; the result has all of both."""
-    cell = cell or choose_cell(right, right_box, distance)
-    a = _cells(left, g.expand(F.col(left_box), distance) if distance else F.col(left_box), cell, "l")
-    b = _cells(right, F.col(right_box), cell, "r")
-    reference = g.centre(g.intersection(F.col("__box_l"), F.col("__box_r")))
-    owner = (F.floor(reference["x"] / cell) == F.col("__cell")["x"]) & (F.floor(reference["y"] / cell) == F.col("__cell")["y"])
+    clash = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
+    if clash:
+        raise ValueError(f"columns of both sides: {sorted(clash)}")
+    cell = cell or choose_cell(left, right, left_box, right_box, distance)
+    if not 0 < cell < math.inf:
+        raise ValueError(f"cell size: {cell}")
+    wide = g.expand(F.col(left_box), distance) if distance else F.col(left_box)
+    sides = []
+    for df, box, s in ((left, wide, "l"), (right, F.col(right_box), "r")):
+        df = df.withColumn("__box_" + s, box)
+        df = df.where(_sound(F.col("__box_" + s)))
+        sides.append(df.withColumn("__level_" + s, _level(F.col("__box_" + s), cell)))
+    # levels are logarithms of sizes: a few dozen numbers at most
+    known = [sorted(r[0] for r in df.select("__level_" + s).distinct().collect()) for df, s in zip(sides, "lr")]
+    a, b = _cells(sides[0], "l", cell, known[1] or [0]), _cells(sides[1], "r", cell, known[0] or [0])
+    size = F.pow(F.lit(2.0), F.col("__cell")["level"]) * cell
+    corner = lambda c: F.floor(F.greatest(F.col("__box_l")[c], F.col("__box_r")[c]) / size)
+    owner = (corner("minx") == F.col("__cell")["x"]) & (corner("miny") == F.col("__cell")["y"])
     out = a.join(b, "__cell").where(g.meets(F.col("__box_l"), F.col("__box_r")) & owner)
-    return (out.where(relation()) if relation else out).drop("__cell", "__box_l", "__box_r")
+    return (out.where(relation()) if relation else out).drop("__cell", "__box_l", "__box_r", "__level_l", "__level_r")
 
 
 def intersects_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float | None = None) -> DataFrame:
+    """Envelopes with a point in common."""
     return spatial_join(left, right, left_box, right_box, cell=cell)
 
 
@@ -61,6 +111,30 @@ def distance_join(left: DataFrame, right: DataFrame, left_point: str, right_poin
     return out.drop("__lb", "__rb")
 
 
+def parse_relation(text: str | None) -> tuple[Callable[[Column, Column], Column], float]:
+    """A relation of shapes and how far apart its envelopes may be, from `intersects` (the default) or `within_distance(d)`."""
+    text = (text or "intersects").strip().lower()
+    if text == "intersects":
+        return sh.intersects, 0.0
+    found = re.fullmatch(r"within_distance\s*\(\s*([0-9.]+(?:e[-+]?[0-9]+)?)\s*\)", text)
+    if not found:
+        raise ValueError(f"unknown relation: {text}")
+    d = float(found[1])
+    return lambda a, b: sh.within_distance(a, b, d), d
+
+
+def shape_join(left: DataFrame, right: DataFrame, left_shape: str, right_shape: str, relation: str | None = None, cell: float | None = None) -> DataFrame:
+    """Pairs of shapes for which the relation holds exactly; null and empty shapes match nothing."""
+    test, d = parse_relation(relation)
+    left, right = left.withColumn("__ls", sh.envelope(F.col(left_shape))), right.withColumn("__rs", sh.envelope(F.col(right_shape)))
+    return spatial_join(left, right, "__ls", "__rs", lambda: test(F.col(left_shape), F.col(right_shape)), d, cell).drop("__ls", "__rs")
+
+
+def matched(pairs: DataFrame, outer: list[str], inner: list[str], name: str = "inners") -> DataFrame:
+    """One row for each outer row with its inner rows as an array: for results with few inner rows each."""
+    return pairs.groupBy(*outer).agg(F.array_sort(F.collect_list(F.struct(*inner))).alias(name))
+
+
 #: Relations of envelopes by name.
 ENVELOPE_RELATIONS = {"intersects": g.meets, "contains": g.covers, "contained_by": lambda a, b: g.covers(b, a)}
 
