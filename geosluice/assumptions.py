@@ -9,6 +9,10 @@
 7. Tiles own points half open, so each point has one owner.
 8. geodesic_distance is on a sphere of mean radius, as its SQL is, and up to about
    0.6 % off; ellipsoid_distance is on WGS 84, null for nearly antipodal points.
+9. bearing counts from north (0) clockwise; gradient counts from south (0) over east.
+10. A key column without an order sorts ascending; NONE, which groups only, must be named.
+11. Points within 1e-12 of a segment, in proportion to its coordinates, lie on it.
+12. A collection that lies in a collection is read flat.
 """
 
 MAX_LATITUDE = 85.0

@@ -267,7 +267,7 @@ def as_base64(s: Column) -> Column:
 def _whole(h: Column, at: Column, swap: Column) -> Column:
     """The count at a place of hexadecimal text."""
     raw = F.substring(h, at + 1, F.lit(8))
-    return F.conv(F.when(swap, _little(raw, 8)).otherwise(raw), 16, 10).cast("int")
+    return F.least(F.conv(F.when(swap, _little(raw, 8)).otherwise(raw), 16, 10).cast("long"), F.lit((1 << 31) - 1)).cast("int")
 
 
 @_once
@@ -305,7 +305,7 @@ def from_hex(text: Column) -> Column:
         swap = F.substring(h, at + 1, F.lit(2)) == "01"
         kind = _whole(h, at + 2, swap)
         dot = F.array(F.array(g.point(_real(h, at + 10, swap), _real(h, at + 26, swap))))
-        many = rings(h, F.when(kind == 3, at + 18).otherwise(at + 10), swap, F.when(kind == 3, _whole(h, at + 10, swap)).otherwise(1))
+        many = rings(h, F.when(kind == 3, at + 18).otherwise(at + 10), swap, F.when(kind == 3, _whole(h, at + 10, swap)).when(kind == 1, 0).otherwise(1))
         return _let(many, lambda m: F.struct(F.when(kind == 1, at + 42).otherwise(m["at"]).alias("at"), (kind - 1).alias("dim"), F.when(kind == 1, dot).otherwise(m["rings"]).alias("rings")))
 
     def read(h: Column) -> Column:
