@@ -262,6 +262,22 @@ def test_pii_adds_secrets_only_where_there_are_some(spark):
     assert [a.kind for a in got[1]] == ["secret"] and got[2] == []
 
 
+def test_pii_learns_from_documents(spark):
+    """Labels follow from base patterns; held-out examples are found; added spans do not overlap."""
+    rows = [(i, f"call +1 (4{i % 10}6) 555-{2000 + i} or a{i}@mail.example.org from 10.{10 + i % 90}.{100 + i % 100}.11 order {4111111111111 + 7 * i} end") for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, None), (-1, "")], "doc_id long, text string")
+    got = collections.Counter((r.kind, r.label) for r in pii.labelled(df).collect())
+    assert got["phone", 1] == got["email", 1] == 300 and got["phone", 0] > 0 and got["email", 0] == 0
+    assert pii.labelled(df, 50).count() == 50
+    det = pii.Detector(df)
+    assert all(p >= 0.98 for p, _, _, _ in det.quality.values()) and all(det.quality[k][1] >= 0.9 for k in ("phone", "email", "secret"))
+    some = spark.createDataFrame([(1, "tel: (212) 555-1234 or x7 [at] mail.example [dot] org, password=b7db7aa4a5fcc78305")], "doc_id long, text string")
+    (r,) = pii.find(some.unionByName(df)).where("doc_id = 1 and size(email) = 0 and size(added) > 0").collect()
+    spans = sorted((a.s, a.e) for a in r.added)
+    assert {a.kind for a in r.added} >= {"phone", "email", "secret"} and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert pii.find(df.limit(0)).count() == 0
+
+
 def test_language(docs, odd):
     out = language_id.identify(docs, ~language_id.held_out()).withColumn("held", language_id.held_out()).collect()
     held = [r for r in out if r.held]
