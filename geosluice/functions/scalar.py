@@ -30,7 +30,8 @@ def to_csv(values: Column, delimiter: str = ",") -> Column:
 def from_csv(text: Column, delimiter: str = ",") -> Column:
     """Fields of one line; a backslash makes the next character plain."""
     d = "\\Q" + delimiter[0] + "\\E"
-    fields = F.split(text, rf"(?<!\\){d}", -1)
+    # a field starts at the text's start or after a delimiter that the field before ended at
+    fields = F.regexp_extract_all(F.concat(F.lit(delimiter[0]), text), F.lit(rf"\G{d}((?:\\.|(?!{d}).)*+)".replace("(?:", "(?s:")), F.lit(1))
     return F.transform(fields, lambda f: F.regexp_replace(f, r"\\(.)", "$1"))
 
 
@@ -47,9 +48,31 @@ def round_half_up(x: Column, digits: int) -> Column:
     return F.floor(x * F.lit(10.0**digits) + F.lit(0.5)).cast("double") / F.lit(10.0**digits)
 
 
+#: Character sets, each with its last character and the bytes of its shortest one.
+CHARSETS = {
+    "US-ASCII": (r"\x7F", 1),
+    "ISO-8859-1": (r"\xFF", 1),
+    "UTF-8": (r"\x{10FFFF}", 1),
+    "UTF-16BE": (r"\x{10FFFF}", 2),
+    "UTF-16LE": (r"\x{10FFFF}", 2),
+    "UTF-16": (r"\x{10FFFF}", 2),
+    "UTF-32": (r"\x{10FFFF}", 4),
+}
+
+
 def change_charset(text: Column, source: str, target: str) -> Column:
-    """Text encoded in one character set and read in another."""
-    return F.decode(F.encode(text, source), target)
+    """Text encoded in one character set and read in another; null where a set is unknown, cannot hold a
+    character, or the bytes are malformed in the other set."""
+    source, target = source.upper(), target.upper()
+    if not {source, target} <= set(CHARSETS):
+        return F.when(text.isNotNull(), F.lit(None).cast("string"))
+    held = F.rlike(text, F.lit(f"\\A[\\x00-{CHARSETS[source][0]}]*+\\z"))
+    raw = F.when(held, F.encode(text, source))
+    if target == "UTF-8":
+        return F.try_validate_utf8(raw.cast("string"))
+    if target == "US-ASCII":
+        raw = F.when(F.rlike(F.hex(raw), F.lit(r"\A([0-7].)*+\z")), raw)
+    return F.when(F.octet_length(raw) % CHARSETS[target][1] == 0, F.decode(raw, target))
 
 
 def avoid_null(value: Column, alternative: Column) -> Column:

@@ -74,19 +74,47 @@ def datetime_between(x: Column, begin: Column, end: Column) -> Column:
 
 
 def time_to_string(t: Column) -> Column:
-    """HH:mm, with seconds if there are any."""
-    at = F.make_timestamp_ntz(date=F.lit("1970-01-01").cast("date"), time=t)
-    return F.when(F.second(at) == 0, F.date_format(at, "HH:mm")).otherwise(F.date_format(at, "HH:mm:ss"))
+    """HH:mm, with seconds if there are any, fractions in groups of three digits."""
+    return F.substring_index(datetime_to_string(_on_day(t)), "T", -1)
+
+
+def _on_day(t: Column) -> Column:
+    return F.make_timestamp_ntz(date=F.lit("1970-01-01").cast("date"), time=t)
 
 
 def time_format(t: Column, pattern: str) -> Column:
-    return F.date_format(F.make_timestamp_ntz(date=F.lit("1970-01-01").cast("date"), time=t), pattern)
+    return F.date_format(_on_day(t), pattern)
 
 
 def time_from_string(text: Column) -> Column:
     return text.cast("time(6)")
 
 
+def time_parse(text: Column, pattern: str) -> Column:
+    """Null where the text does not fit the pattern."""
+    return F.date_format(datetime_parse(text, pattern), "HH:mm:ss.SSSSSS").cast("time(6)")
+
+
+def date_now() -> Column:
+    return F.current_date()
+
+
+def datetime_now() -> Column:
+    """The time of the query's start, the same for all rows."""
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
+def time_now() -> Column:
+    return F.date_format(datetime_now(), "HH:mm:ss.SSSSSS").cast("time(6)")
+
+
+def date_from_object(value: Column, kind: str) -> Column:
+    """A date from a date, a datetime, epoch milliseconds or text, by the type `kind` of the value."""
+    if kind in ("long", "bigint"):
+        return date_from_millis(value)
+    return date_from_string(value) if kind == "string" else value.cast("date")
+
+
 def at_time(d: Column, t: Column) -> Column:
     return F.make_timestamp_ntz(date=d, time=t)
 

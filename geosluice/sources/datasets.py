@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clusters import partition_stats
+from ..operators.clusters import partition_stats, store
 
 #: Names of compression codecs and what Parquet calls them.
 CODECS = {"snappy": "snappy", "gzip": "gzip", "gz": "gzip", "zip": "gzip", "lz4": "lz4", "zstd": "zstd"}
-ENTRY = "id string, folder string, path string, geom_column string, srid string, bounds string, count long, version long"
+ENTRY = "id string, folder string, path string, geom_column string, srid string, bounds string, count long, index_path string, index_zoom int, version long"
+FIELDS = ("id", "folder", "path", "geom_column", "srid", "bounds", "count", "index_path", "index_zoom")
+EDGES = ("minx", "miny", "maxx", "maxy")
 
 
 def normal_id(text: str) -> str:
@@ -55,13 +57,70 @@ class Catalog:
             self.delete(ident)
         self._check(ident)
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.option("compression", CODECS[codec.lower()]).parquet(path)
-        stats = partition_stats(self.spark.read.parquet(path), box).first() if box else None
-        bounds = ";".join(str(v) for v in stats["bounds"]) if stats and stats["bounds"]["minx"] is not None else ""
-        count = stats["count"] if stats else self.spark.read.parquet(path).count()
-        self._rows[ident] = {"id": ident, "folder": folder_of(ident), "path": path, "geom_column": box, "srid": srid, "bounds": bounds, "count": count}
+        seen = Observation()
+        edges = [F.min(F.col(box)[c] if c.startswith("min") else -F.col(box)[c]).alias(c) for c in EDGES] if box else []
+        df.observe(seen, F.count(F.lit(1)).alias("count"), *edges).write.option("compression", CODECS[codec.lower()]).parquet(path)
+        self._rows[ident] = {"id": ident, "folder": folder_of(ident), "path": path, "geom_column": box, "srid": srid, **self._stats(seen.get)}
         return self._rows[ident]
 
+    @staticmethod
+    def _stats(seen: dict) -> dict:
+        known = seen.get("minx") is not None
+        return {"bounds": ";".join(str(seen[c] if c.startswith("min") else -seen[c]) for c in EDGES) if known else "", "count": seen["count"]}
+
+    def append(self, ident: str, df: DataFrame, codec: str = "zstd") -> dict:
+        """Add rows to a dataset, in its columns' order and types; its statistics are taken anew."""
+        row = self._rows[normal_id(ident)]
+        old = self.spark.read.parquet(row["path"]).schema
+        df.select(*[F.col(f.name).cast(f.dataType) for f in old]).write.mode("append").option("compression", CODECS[codec.lower()]).parquet(row["path"])
+        return self.update_statistics(ident)
+
+    def update_statistics(self, ident: str) -> dict:
+        """Count and bounds of a dataset, read from its rows."""
+        row = self._rows[normal_id(ident)]
+        df = self.read(ident)
+        stats = partition_stats(df, row["geom_column"]).first() if row["geom_column"] else None
+        known = stats is not None and stats["bounds"]["minx"] is not None
+        row["bounds"] = ";".join(str(v) for v in stats["bounds"]) if known else ""
+        row["count"] = df.count()
+        return row
+
+    def range_query(self, ident: str, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
+        """Rows whose box meets the range, borders included; the test on box edges reaches the Parquet scan."""
+        row = self._rows[normal_id(ident)]
+        if not row["geom_column"]:
+            raise ValueError(f"no box column: {row['id']}")
+        box = F.col(row["geom_column"])
+        return self.read(ident).where((box["minx"] <= maxx) & (box["maxx"] >= minx) & (box["miny"] <= maxy) & (box["maxy"] >= miny))
+
+    def create_index(self, ident: str, zoom: int) -> str:
+        """Cluster a dataset by quadkeys of a zoom; the entry is the dataset's spatial index until it is dropped."""
+        row = self._rows[normal_id(ident)]
+        if row.get("index_path"):
+            raise ValueError(f"index exists: {row['id']}")
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        store(self.read(ident), row["geom_column"], path, zoom)
+        row["index_path"], row["index_zoom"] = path, zoom
+        return path
+
+    def index_of(self, ident: str) -> dict | None:
+        """The index entry: id, box column, srid, path and zoom."""
+        row = self._rows[normal_id(ident)]
+        if not row.get("index_path"):
+            return None
+        return {"id": row["id"], "geom_column": row["geom_column"], "srid": row["srid"], "path": row["index_path"], "zoom": row["index_zoom"]}
+
+    def drop_index(self, ident: str) -> bool:
+        row = self._rows[normal_id(ident)]
+        return (row.pop("index_path", None), row.pop("index_zoom", None))[0] is not None
+
+    def delete_folder(self, folder: str) -> list[str]:
+        """Take every dataset in the folder or below it out of the catalog."""
+        gone = self.listed(folder)
+        for ident in gone:
+            del self._rows[ident]
+        return gone
+
     def read(self, ident: str) -> DataFrame:
         return self.spark.read.parquet(self._rows[normal_id(ident)]["path"])
 
@@ -82,7 +141,7 @@ class Catalog:
 
     def save(self) -> None:
         """The catalog as a new version of its table; readers take the newest."""
-        rows = [tuple(r[c] for c in ("id", "folder", "path", "geom_column", "srid", "bounds", "count")) for r in self._rows.values()]
+        rows = [tuple(r.get(c) for c in FIELDS) for r in self._rows.values()]
         now = max([0, *self._versions()]) + 1
         self.spark.createDataFrame([(*r, now) for r in rows], ENTRY).write.mode("append").parquet(f"{self.root}/catalog")
 
@@ -100,5 +159,5 @@ class Catalog:
         newest = max([0, *out._versions()])
         if newest:
             for r in spark.read.schema(ENTRY).parquet(f"{out.root}/catalog").where(F.col("version") == newest).collect():
-                out._rows[r["id"]] = {k: r[k] for k in ("id", "folder", "path", "geom_column", "srid", "bounds", "count")}
+                out._rows[r["id"]] = {k: r[k] for k in FIELDS}
         return out

@@ -116,3 +116,53 @@ def test_catalog(spark, tmp_path):
 def test_text_source(spark, tmp_path):
     (tmp_path / "t.txt").write_text("#x\na\n")
     assert [r.text for r in read_text(spark, str(tmp_path / "t.txt"), "#").collect()] == ["a"]
+
+
+def test_names_in_sql(spark):
+    from geosluice.functions import names
+
+    assert len(names.register(spark)) == len(names.FUNCTIONS)
+    row = spark.sql(
+        "SELECT ST_Distance(ST_Point(0, 0), ST_Point(3, 4)) a, ST_DWithin(NULL, ST_Point(0, 0), 1) b, RoundHalfUp(-2.5, 0) c, DateWeekDay(DATE'2024-01-07') d,"
+        " ST_ArrayAvg(array(1, 2)) e, DateFromMillis(-1) f, ST_TRDuration(array(named_struct('x', 1, 'y', 1, 'ts', 5), named_struct('x', 1, 'y', 1, 'ts', 9))) g, ST_TRSampleCount(NULL) h"
+    ).first()
+    assert (row.a, row.b, row.c, row.d, row.e, str(row.f), row.g, row.h) == (5.0, False, -2.0, 7, 1.5, "1969-12-31", 4, 0)
+
+
+def test_text_and_time_corners(spark):
+    from geosluice.functions import temporal as tm
+
+    assert one(spark, s.from_csv(F.lit(r"a\\,b"))) == ["a\\", "b"]
+    assert one(spark, s.from_csv(F.lit(r"a\,b,,c"))) == ["a,b", "", "c"]
+    assert one(spark, s.from_csv(F.lit(""))) == [""] and one(spark, s.from_csv(F.lit("a,\nb,"))) == ["a", "\nb", ""]
+    assert one(spark, s.change_charset(F.lit("aé"), "ISO-8859-1", "UTF-8")) is None
+    assert one(spark, s.change_charset(F.lit("aé"), "UTF-8", "ISO-8859-1")) == "aÃ©"
+    assert one(spark, s.change_charset(F.lit("aé"), "US-ASCII", "UTF-8")) is None
+    assert one(spark, s.change_charset(F.lit("é"), "UTF-8", "US-ASCII")) is None
+    assert one(spark, s.change_charset(F.lit("abc"), "UTF-8", "UTF-16BE")) is None
+    assert one(spark, s.change_charset(F.lit("abc"), "nothing", "UTF-8")) is None
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    text = lambda v: one(spark, tm.time_to_string(tm.time_from_string(F.lit(v))))
+    assert [text(v) for v in ("12:00:00", "12:00:05", "12:00:00.5", "12:00:00.000001")] == ["12:00", "12:00:05", "12:00:00.500", "12:00:00.000001"]
+    assert one(spark, tm.time_to_string(tm.time_parse(F.lit("07.30"), "HH.mm"))) == "07:30" and one(spark, tm.time_parse(F.lit("x"), "HH.mm")) is None
+    assert one(spark, tm.datetime_now()) is not None and one(spark, tm.time_now()) is not None
+    assert str(one(spark, tm.date_from_object(F.lit(-1).cast("long"), "long"))) == "1969-12-31"
+
+
+def test_catalog_statistics_ranges_and_indexes(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    df = spark.range(20).select("id", g.envelope(F.col("id"), F.col("id"), F.col("id") + 0.5, F.col("id") + 0.5).alias("box"))
+    made = cat.create("/a/b", df, "box")
+    assert (made["bounds"], made["count"]) == ("0.0;0.0;19.5;19.5", 20)
+    assert sorted(r.id for r in cat.range_query("/a/b", 3.5, 0, 5, 9).collect()) == [3, 4, 5]
+    assert cat.create("/a/none", df.limit(0), "box")["bounds"] == "" and cat.create("/a/plain", df)["count"] == 20
+    assert cat.append("/a/b", spark.range(30, 31).select("id", g.envelope(F.lit(30), F.lit(1), F.lit(31), F.lit(2)).alias("box")))["bounds"] == "0.0;0.0;31.0;19.5"
+    cat.create_index("/a/b", 6)
+    with pytest.raises(ValueError):
+        cat.create_index("/a/b", 6)
+    cat.save()
+    again = Catalog.open(spark, str(tmp_path))
+    assert again.index_of("/a/b")["zoom"] == 6 and again.get("/a/b")["count"] == 21
+    assert clusters.load(spark, again.index_of("/a/b")["path"]).where("__owned").count() == 21
+    assert again.drop_index("/a/b") and again.index_of("/a/b") is None and not again.drop_index("/a/b")
+    assert again.delete_folder("/a") == ["/a/b", "/a/none", "/a/plain"] and again.listed() == []
