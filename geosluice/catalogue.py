@@ -17,9 +17,9 @@ from .functions import shapes as sh
 from .functions import temporal as d
 from .functions import tiles as t
 from .functions import trajectory as tr
-from .operators import clusters, columns, keys
+from .operators import clusters, columns, keys, trajectories
 from .plans import spatial_join as sj
-from .session import configure
+from .session import configure, scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -105,7 +105,7 @@ SCALARS: dict[str, tuple[str, str, Callable, str]] = {
     # datetimes
     "datetime_from_millis": ("events", "event_id", lambda: F.date_format(d.datetime_from_millis(d.datetime_to_millis(_c("ts"))), "yyyy-MM-dd HH:mm:ss.SSS"), "strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%d %H:%M:%S.%g')"),
     "datetime_to_millis": ("events", "event_id", lambda: d.datetime_to_millis(_c("ts")), "CAST((epoch_us(ts) // 1000) AS BIGINT)"),
-    "datetime_from_string": ("events", "event_id", lambda: d.datetime_to_millis(d.datetime_from_string(_c("ts").cast("string"))), "CAST((epoch_us(ts) // 1000) AS BIGINT)"),
+    "datetime_from_string": ("events", "event_id", lambda: d.datetime_to_millis(d.datetime_from_string(F.translate(_c("ts").cast("string"), " ", "T"))), "CAST((epoch_us(ts) // 1000) AS BIGINT)"),
     "datetime_to_string": ("dates", "o_orderkey", lambda: d.datetime_to_string(_c("d").cast("timestamp_ntz")), "strftime(d, '%Y-%m-%dT%H:%M')"),
     "datetime_year": ("events", "event_id", lambda: F.year("ts"), "CAST(year(ts) AS INTEGER)"),
     "datetime_month": ("events", "event_id", lambda: F.month("ts"), "CAST(month(ts) AS INTEGER)"),
@@ -116,6 +116,7 @@ SCALARS: dict[str, tuple[str, str, Callable, str]] = {
     "datetime_second": ("events", "event_id", lambda: F.second("ts"), "CAST(second(ts) AS INTEGER)"),
     "datetime_parse": ("date_text", "o_orderkey", lambda: d.datetime_to_millis(d.datetime_parse(_c("d"), "yyyy-MM-dd")), "CAST(epoch_ms(try_strptime(d, '%Y-%m-%d')) AS BIGINT)"),
     "datetime_format": ("events", "event_id", lambda: d.date_format(_c("ts"), "yyyyMMdd-HHmmss"), "strftime(ts, '%Y%m%d-%H%M%S')"),
+    "datetime_is_equal": ("events", "event_id", lambda: _c("ts") == F.date_trunc("minute", "ts").cast("timestamp_ntz"), "ts = date_trunc('minute', ts)"),
     "datetime_is_after": ("events", "event_id", lambda: _c("ts") > F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), "ts > TIMESTAMP '2024-01-15 12:00:00'"),
     "datetime_is_before": ("events", "event_id", lambda: _c("ts") < F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), "ts < TIMESTAMP '2024-01-15 12:00:00'"),
     "datetime_between": ("events", "event_id", lambda: d.datetime_between(_c("ts"), F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")), "(epoch_us(ts) // 1000) BETWEEN epoch_ms(TIMESTAMP '2024-01-05') AND epoch_ms(TIMESTAMP '2024-01-20')"),
@@ -123,6 +124,8 @@ SCALARS: dict[str, tuple[str, str, Callable, str]] = {
     "time_hour": ("events", "event_id", lambda: F.hour(d.time_from_string(F.date_format("ts", "HH:mm:ss"))), "CAST(hour(ts) AS INTEGER)"),
     "time_minute": ("events", "event_id", lambda: F.minute(d.time_from_string(F.date_format("ts", "HH:mm:ss"))), "CAST(minute(ts) AS INTEGER)"),
     "time_second": ("events", "event_id", lambda: F.second(d.time_from_string(F.date_format("ts", "HH:mm:ss"))), "CAST(second(ts) AS INTEGER)"),
+    "time_is_equal": ("events", "event_id", lambda: d.time_from_string(F.date_format("ts", "HH:mm:ss")) == d.time_from_string(F.date_format("ts", "HH:mm")), "second(ts) = 0"),
+    "time_is_after": ("events", "event_id", lambda: d.time_from_string(F.date_format("ts", "HH:mm:ss")) > d.time_from_string(F.lit("12:00:00")), "hour(ts) * 3600 + minute(ts) * 60 + second(ts) > 43200"),
     "time_is_before": ("events", "event_id", lambda: d.time_from_string(F.date_format("ts", "HH:mm:ss")) < d.time_from_string(F.lit("12:00:00")), "hour(ts) < 12"),
     "time_to_string": ("events", "event_id", lambda: d.time_to_string(d.time_from_string(F.date_format("ts", "HH:mm"))), "strftime(ts, '%H:%M')"),
     "time_format": ("events", "event_id", lambda: d.time_format(d.time_from_string(F.date_format("ts", "HH:mm:ss")), "HHmmss"), "strftime(ts, '%H%M%S')"),
@@ -274,11 +277,9 @@ def select_joined(spark, sf_dir) -> DataFrame:
 
 
 def key_order(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    f = fixture(spark, sf_dir, "keys_nullable")
-    order = keys.ordering("k1:DESC:LAST, k2:ASC:FIRST, o_orderkey")
-    return f.select("o_orderkey", F.row_number().over(Window.partitionBy((F.col("o_orderkey") % 16).alias("p")).orderBy(*order)).alias("place"))
+    """Each order's place in the order of a key of three columns."""
+    f = fixture(spark, sf_dir, "keys_nullable").select("o_orderkey", "k1", "k2")
+    return keys.numbered(f, "k1:DESC:LAST, k2:ASC:FIRST, o_orderkey", "place", scratch(spark, "order")).select("o_orderkey", "place")
 
 
 def key_groups(spark, sf_dir) -> DataFrame:
@@ -308,41 +309,46 @@ def sampled_space(spark, sf_dir) -> DataFrame:
 
 def range_query(spark, sf_dir) -> DataFrame:
     """Stores zones by quadkey in a scratch folder and queries one range."""
-    import uuid
-
-    from .operators.clusters import store
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-geosluice-")
-    path = f"{root}/geosluice-zones-{uuid.uuid4().hex}"
-    store(zones(spark, sf_dir), "box", path, 7)
+    path = scratch(spark, "zones")
+    clusters.store(zones(spark, sf_dir), "box", path, 7)
     return clusters.range_query(spark, path, 127.0, 34.0, 128.5, 36.5, 7).select("zone_id")
 
 
-def trajectories(spark, sf_dir) -> DataFrame:
+def samples(spark, sf_dir) -> DataFrame:
     e = fixture(spark, sf_dir, "events")
-    sample = F.struct(d.datetime_to_millis(F.col("ts")).alias("ts"), "event_id", (F.col("event_id") % 128).cast("double").alias("x"), ((F.col("event_id") * 31) % 128).cast("double").alias("y"))
-    got = e.groupBy("user_id").agg(F.array_sort(F.collect_list(sample)).alias("s"))
-    return got.select("user_id", F.transform("s", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["ts"].alias("ts"))).alias("tr"))
+    return e.select("user_id", "event_id", d.datetime_to_millis(F.col("ts")).alias("ts"), (F.col("event_id") % 128).cast("double").alias("x"), ((F.col("event_id") * 31) % 128).cast("double").alias("y"))
 
 
 def trajectory_measures(spark, sf_dir) -> DataFrame:
-    v = F.col("tr")
-    return trajectories(spark, sf_dir).select(
+    ends = F.array("first", "last")
+    return trajectories.measures(samples(spark, sf_dir), "user_id", "event_id").select(
         "user_id",
-        tr.sample_count(v).alias("n_samples"),
-        F.round(tr.length(v), 4).alias("path_length"),
-        tr.first(v)["x"].alias("first_x"),
-        tr.sample_point(tr.last(v))["y"].alias("last_y"),
-        tr.sample_at(v, 0)["ts"].alias("first_ts"),
-        tr.duration_ms(v).alias("duration_ms"),
-        d.datetime_to_millis(tr.sample_time(tr.last(v))).alias("last_ts"),
+        "n_samples",
+        F.round("path_length", 4).alias("path_length"),
+        tr.first(ends)["x"].alias("first_x"),
+        tr.sample_point(tr.last(ends))["y"].alias("last_y"),
+        tr.sample_at(ends, 0)["ts"].alias("first_ts"),
+        tr.duration_ms(ends).alias("duration_ms"),
+        d.datetime_to_millis(tr.sample_time(tr.last(ends))).alias("last_ts"),
+    )
+
+
+def trajectory_days(spark, sf_dir) -> DataFrame:
+    """Each user's trajectory of a day: its span and its line's corners."""
+    v = F.col("tr")
+    corner = lambda pick, c: pick(F.transform(tr.line(v), lambda p: p[c])).alias(f"{pick.__name__[6:]}_{c}")
+    return trajectories.sliced(samples(spark, sf_dir), "user_id", "event_id", 0, 86_400_000).select(
+        "user_id", F.col("slice").alias("day"), tr.interval(v)["start_ms"].alias("start_ms"), tr.interval(v)["end_ms"].alias("end_ms"), corner(F.array_min, "x"), corner(F.array_max, "y")
     )
 
 
+def bind_contained(spark, sf_dir) -> DataFrame:
+    """Zones that lie in one tile of zoom 5, of the tiles that have points."""
+    p = points(spark, sf_dir)
+    leaves = p.select(t.quadkey(t.tile_x(_c("lon"), 5), t.tile_y(_c("lat"), 5), 5).alias("quad_key")).distinct()
+    return clusters.bind_contained(zones(spark, sf_dir), "box", leaves).select("zone_id", "quad_key")
+
+
 P, Z = FIXTURES["pts"], FIXTURES["zones"]
 
 
@@ -384,6 +390,11 @@ _STRETCH = """greatest(0, (b.minx - a.minx) / (a.maxx - a.minx), (b.miny - a.min
               / ((a.maxx - a.minx) * (b.maxy - b.miny) + (a.maxy - a.miny) * (b.maxx - b.minx)))"""
 _GAP = "greatest(0, minx - lon, lon - maxx) * greatest(0, minx - lon, lon - maxx) + greatest(0, miny - lat, lat - maxy) * greatest(0, miny - lat, lat - maxy)"
 
+_LOW5, _HIGH5, _P5 = _tile_sql("minx", "miny", 5), _tile_sql("maxx", "maxy", 5), _tile_sql("lon", "lat", 5)
+_CONTAINED = f"""WITH p AS (SELECT DISTINCT {_P5[0]} AS x, {_P5[1]} AS y FROM ({P}) p),
+z AS (SELECT zone_id, {_LOW5[0]} AS x, {_LOW5[1]} AS y, {_HIGH5[0]} AS u, {_HIGH5[1]} AS v FROM ({Z}) z)
+SELECT zone_id, {_key_sql("z.x", "z.y", 5)} AS quad_key FROM z JOIN p ON z.x = p.x AND z.y = p.y WHERE z.x = u AND z.y = v"""
+
 #: name: (query, SQL)
 PLANS = {
     "join_points_in_polygons": (join_points_in_polygons, f"SELECT pt_id, zone_id FROM (SELECT pt_id, lon AS x, lat AS y FROM ({P}) p) p JOIN ({Z}) z ON {_TRIANGLE}"),
@@ -398,18 +409,24 @@ PLANS = {
     "join_key_matches": (join_key_matches, _MATCHES),
     "select_columns": (select_columns, "SELECT * EXCLUDE (c_mktsegment) FROM customer"),
     "select_joined": (select_joined, "SELECT c_custkey, c_name AS who, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey"),
-    "key_order": (key_order, f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY k1 DESC NULLS FIRST, k2 ASC NULLS FIRST, o_orderkey) AS INTEGER) AS place FROM ({FIXTURES['keys_nullable']}) f"),
+    "key_order": (key_order, f"SELECT o_orderkey, row_number() OVER (ORDER BY k1 DESC NULLS FIRST, k2 ASC NULLS FIRST, o_orderkey) AS place FROM ({FIXTURES['keys_nullable']}) f"),
     "key_groups": (key_groups, f"SELECT k2, k1, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ({FIXTURES['keys_nullable']}) f GROUP BY k2, k1"),
     "stats_partition": (stats_partition, f"SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS count, CAST(32 * count(*) AS BIGINT) AS size FROM ({Z}) z"),
     "attach_quadkey": (attach_quadkey, f"SELECT zone_id, CAST({_TILES} AS BIGINT) AS n_tiles, CAST(1 AS BIGINT) AS n_owned FROM ({Z}) z"),
     "cluster_statistics": (cluster_statistics, _CLUSTERS),
     "sampled_space": (sampled_space, _SPACE),
     "range_query": (range_query, f"SELECT zone_id FROM ({Z}) z WHERE minx <= 128.5 AND maxx >= 127 AND miny <= 36.5 AND maxy >= 34"),
+    "bind_contained": (bind_contained, _CONTAINED),
+    "trajectory_days": (
+        trajectory_days,
+        """SELECT user_id, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, min(epoch_us(ts) // 1000) AS start_ms, max(epoch_us(ts) // 1000) AS end_ms,
+       min(CAST(event_id % 128 AS DOUBLE)) AS min_x, max(CAST((event_id * 31) % 128 AS DOUBLE)) AS max_y FROM events GROUP BY ALL""",
+    ),
     "trajectory_measures": (
         trajectory_measures,
         """WITH s AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS ms, CAST(event_id % 128 AS DOUBLE) AS x, CAST((event_id * 31) % 128 AS DOUBLE) AS y FROM events),
 w AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ms, event_id))
-SELECT user_id, CAST(count(*) AS INTEGER) AS n_samples,
+SELECT user_id, count(*) AS n_samples,
        round(coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0), 4) AS path_length,
        arg_min(x, (ms, event_id)) AS first_x, arg_max(y, (ms, event_id)) AS last_y, min(ms) AS first_ts, max(ms) - min(ms) AS duration_ms, max(ms) AS last_ts
 FROM w GROUP BY user_id""",

@@ -49,7 +49,9 @@ def datetime_to_millis(ts: Column) -> Column:
 
 
 def datetime_from_string(text: Column) -> Column:
-    return text.cast("timestamp_ntz")
+    """ISO text, yyyy-MM-ddTHH:mm with optional seconds and fractions; anything else is an error."""
+    iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?$")
+    return F.when(text.isNull() | iso, text.cast("timestamp_ntz")).otherwise(F.raise_error(F.concat(F.lit("not an ISO datetime: "), text)).cast("timestamp_ntz"))
 
 
 def datetime_to_string(ts: Column) -> Column:

@@ -49,6 +49,18 @@ def attach_quadkey(df: DataFrame, box: str, zoom: int, outliers: bool = True, ow
     return out if outliers else out.where(F.col("__quad_key") != OUTLIER_KEY)
 
 
+def bind_contained(df: DataFrame, box: str, leaves: DataFrame, most: int = 12) -> DataFrame:
+    """Rows with the quad_key of the leaf (a tile of at most `most` levels; leaves do not overlap) that holds the whole box.
+
+    That leaf's key begins the keys of both corners.  Rows that no single leaf holds are not returned."""
+    b = F.col(box)
+    low, high = t.quadkey(t.tile_x(b["minx"], most), t.tile_y(b["miny"], most), most), t.quadkey(t.tile_x(b["maxx"], most), t.tile_y(b["maxy"], most), most)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda z: F.substring(low, F.lit(1), z))
+    common = F.filter(keys, lambda k: high.startswith(k))
+    rows = df.where(t.in_range(b)).withColumn("quad_key", F.explode(common))
+    return rows.join(leaves.select("quad_key"), "quad_key")
+
+
 def cluster_stats(attached: DataFrame) -> DataFrame:
     """Per quadkey: bounds of its tile (null for outliers), data bounds, count with replicas, and replicas."""
     b = F.col("__mbr")
@@ -59,9 +71,12 @@ def cluster_stats(attached: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, box: str, path: str, zoom: int) -> None:
-    """Rows by quadkey, a folder for each key, and beside them the index of clusters."""
+    """Rows by quadkey, a folder for each key, and beside them the index of clusters.
+
+    Tiles with very many rows are dealt to several tasks, and files, by their measured size."""
     attached = attach_quadkey(df, box, zoom)
-    attached.repartition("__quad_key").sortWithinPartitions(F.desc("__owned")).write.partitionBy("__quad_key").parquet(f"{path}/data")
+    dealt = attached.hint("rebalance", F.col("__quad_key")).sortWithinPartitions("__quad_key", F.desc("__owned"))
+    dealt.write.partitionBy("__quad_key").parquet(f"{path}/data")
     cluster_stats(load(df.sparkSession, path)).write.parquet(f"{path}/index")
 
 

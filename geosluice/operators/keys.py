@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = {"ASC": "ASC", "A": "ASC", "DESC": "DESC", "D": "DESC", "NONE": "NONE", "N": "NONE"}
@@ -56,6 +56,20 @@ def flatten(df: DataFrame, text: str) -> DataFrame:
     return df.select(*[k.name for k in keys(text)], *complement(text, df.columns))
 
 
+def numbered(df: DataFrame, text: str, name: str, path: str) -> DataFrame:
+    """df with each row's place from 1 in the key's order over the whole table, in column `name`.
+
+    Rows are sorted in ranges and written to `path`, so that places come from one run;
+    a range's first place is the sum of the ranges before it, a row for each range."""
+    part, at = f"__part_{name}", f"__at_{name}"
+    df.orderBy(*ordering(text)).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(at)).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    ranges = rows.groupBy(part).agg(F.count("*").alias("__n"), F.min(at).alias("__first"))
+    before = F.sum("__n").over(Window.orderBy(part)) - F.col("__n")
+    shift = ranges.select(part, (before - F.col("__first") + 1).alias(name))
+    return rows.drop(name).join(F.broadcast(shift), part).withColumn(name, F.col(name) + F.col(at)).drop(part, at)
+
+
 def grouped(df: DataFrame, text: str, function, schema: str) -> DataFrame:
     """A function of each group's rows; nulls of a key make one group."""
     return df.groupBy(*[k.name for k in keys(text)]).applyInPandas(function, schema)

@@ -129,6 +129,70 @@ def test_names_in_sql(spark):
     assert (row.a, row.b, row.c, row.d, row.e, str(row.f), row.g, row.h) == (5.0, False, -2.0, 7, 1.5, "1969-12-31", 4, 0)
 
 
+def test_time_and_trajectory_names_in_sql(spark):
+    from geosluice.functions import names
+
+    names.register(spark)
+    tr = "array(named_struct('x', 1, 'y', 2, 'ts', 1000), named_struct('x', 3, 'y', 4, 'ts', 61000))"
+    row = spark.sql(
+        f"SELECT DateParse('2024-02-30', 'yyyy-MM-dd') a, DateFormat(DATE'2024-02-03', 'dd/MM') b, DateTimeWeekDay(TIMESTAMP_NTZ'2024-01-07 10:11:12') c,"
+        " DateTimeIsBetween(TIMESTAMP_NTZ'2024-01-07', TIMESTAMP_NTZ'2024-01-07', TIMESTAMP_NTZ'2024-01-08') d, TimeMinute(TimeFromString('10:11:12')) e,"
+        " string(TimeToDateTime(DATE'2024-01-07', TimeFromString('10:11:12'))) f, TimeIsAfter(TimeFromString('10:11'), TimeFromString('10:10')) g,"
+        f" ST_TREndSamplePoint({tr}).y h, string(ST_TRSampleTimeAt({tr}, 1)) i, ST_ITContainsMillis(ST_TRInterval({tr}), 61000) j, ST_ITContainsMillis(ST_TRInterval({tr}), 1000) k,"
+        f" ST_ITOverlaps(ST_TRInterval({tr}), ST_ITFromDateTime(TIMESTAMP_NTZ'1970-01-01', TIMESTAMP_NTZ'1970-01-01 00:00:01')) l, size(ST_TRLineString({tr})) m, DateNow() IS NOT NULL n"
+    ).first()
+    assert tuple(row) == (None, "03/02", 7, True, 11, "2024-01-07 10:11:12", True, 4.0, "1970-01-01 00:01:01", False, True, False, 2, True)
+
+
+def test_datetimes_are_strict(spark):
+    from geosluice.functions import temporal as tm
+
+    assert str(one(spark, tm.datetime_from_string(F.lit("2024-01-07T10:11:12.5")))) == "2024-01-07 10:11:12.500000"
+    assert one(spark, tm.datetime_from_string(F.lit(None).cast("string"))) is None
+    for bad in ("2024-01-07", "2024-01-07 10:11", "2024-1-7T10:11", "x", "2024-02-30T10:11"):
+        with pytest.raises(Exception):
+            one(spark, tm.datetime_from_string(F.lit(bad)))
+
+
+def test_places_in_a_key_order(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, k int").repartition(5)
+    got = {r.i: r.place for r in keys.numbered(df, "k:ASC:FIRST, i:DESC", "place", str(tmp_path / "o")).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, -r[0]))
+    assert [got[r[0]] for r in want] == list(range(1, 501))
+    assert keys.numbered(df.limit(0), "i", "place", str(tmp_path / "e")).count() == 0
+
+
+def test_trajectories_by_slices(spark):
+    """A mover with most rows, one with a single sample, ties of time and a missing time, at several widths."""
+    from geosluice.operators import trajectories
+
+    rows = [("a", (i * 37) % 1000, i, float(i % 11), float(i % 7)) for i in range(300)] + [("b", 5, 0, 1.0, 2.0), ("b", None, 1, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "who string, ts long, n int, x double, y double")
+    path = sorted((r for r in rows if r[0] == "a"), key=lambda r: (r[1], r[2]))
+    length = sum(math.dist(p[3:], q[3:]) for p, q in zip(path, path[1:]))
+    for slices in (None, (0, 1), (3, 7), (0, 10**6)):
+        got = {r.who: r for r in trajectories.measures(df, "who", "n", slices).collect()}
+        assert got["a"].n_samples == 300 and abs(got["a"].path_length - length) < 1e-9
+        assert (got["a"]["first"].ts, got["a"]["last"].x) == (path[0][1], path[-1][3])
+        assert (got["b"].n_samples, got["b"].path_length, got["b"]["last"].x) == (1, 0.0, 1.0)
+    assert trajectories.measures(df.limit(0), "who", "n").count() == 0
+
+
+def test_bound_to_the_leaf_that_holds_the_box(spark):
+    boxes = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0), (2, -1.0, 1.0, 1.0, 2.0), (3, 100.0, -50.0, 101.0, -49.0), (4, 0.0, 89.0, 1.0, 89.5)], "i int, a double, b double, c double, d double")
+    boxes = boxes.select("i", g.envelope(*map(F.col, "abcd")).alias("box"))
+    leaves = spark.createDataFrame([("1",), ("0",), ("30",), ("31",)], "quad_key string")
+    assert sorted(tuple(r) for r in clusters.bind_contained(boxes, "box", leaves).select("i", "quad_key").collect()) == [(1, "1"), (3, "31")]
+
+
+def test_a_tile_with_most_rows_is_stored_whole(spark, tmp_path):
+    boxes = spark.range(3000).select("id", g.envelope(*[F.when(F.col("id") < 2900, F.lit(10.1)).otherwise(F.col("id") % 100)] * 4).alias("box"))
+    clusters.store(boxes, "box", str(tmp_path / "c"), 6)
+    assert clusters.load(spark, str(tmp_path / "c")).where("__owned").select("id").distinct().count() == 3000
+    assert clusters.range_query(spark, str(tmp_path / "c"), 10.0, 10.0, 10.5, 10.5, 6).count() == 2901
+
+
 def test_text_and_time_corners(spark):
     from geosluice.functions import temporal as tm
 
