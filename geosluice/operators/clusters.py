@@ -9,6 +9,9 @@ from ..assumptions import OUTLIER_KEY
 from ..functions import geometry as g
 from ..functions import tiles as t
 
+#: The column that names folders of stored clusters.
+FOLDER = "__folder"
+
 
 def partition_stats(df: DataFrame, box: str, size: Column | None = None) -> DataFrame:
     """Bounds, count and size of all rows: an associative merge."""
@@ -73,17 +76,21 @@ def cluster_stats(attached: DataFrame) -> DataFrame:
 def store(df: DataFrame, box: str, path: str, zoom: int) -> None:
     """Rows by quadkey, a folder for each key, and beside them the index of clusters.
 
-    Tiles with very many rows are dealt to several tasks, and files, by their measured size."""
-    attached = attach_quadkey(df, box, zoom)
-    dealt = attached.hint("rebalance", F.col("__quad_key")).sortWithinPartitions("__quad_key", F.desc("__owned"))
-    dealt.write.partitionBy("__quad_key").parquet(f"{path}/data")
+    Tiles with very many rows are dealt to several tasks, and files, by their measured size.
+    A folder's name is its key behind a letter, as keys of digits alone would be read back as numbers."""
+    attached = attach_quadkey(df, box, zoom).withColumn(FOLDER, F.concat(F.lit("q"), "__quad_key"))
+    dealt = attached.drop("__quad_key").hint("rebalance", F.col(FOLDER)).sortWithinPartitions(FOLDER, F.desc("__owned"))
+    dealt.write.partitionBy(FOLDER).parquet(f"{path}/data")
     cluster_stats(load(df.sparkSession, path)).write.parquet(f"{path}/index")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """All rows with replicas; `where __owned` has each row once."""
-    data = spark.read.parquet(f"{path}/data")
-    return data.withColumn("__quad_key", F.col("__quad_key").cast("string"))
+    return _keyed(spark.read.parquet(f"{path}/data"))
+
+
+def _keyed(data: DataFrame) -> DataFrame:
+    return data.withColumn("__quad_key", F.expr(f"substring({FOLDER}, 2)")).drop(FOLDER)
 
 
 def range_query(spark: SparkSession, path: str, minx: float, miny: float, maxx: float, maxy: float, zoom: int) -> DataFrame:
@@ -91,9 +98,10 @@ def range_query(spark: SparkSession, path: str, minx: float, miny: float, maxx:
     reference point.  Outliers match no range."""
     rng = g.envelope(*(F.lit(v) for v in (minx, miny, maxx, maxy)))
     index = spark.read.parquet(f"{path}/index").where(F.col("quad_key") != OUTLIER_KEY)
-    hits = index.where(g.meets(F.struct("minx", "miny", "maxx", "maxy"), rng)).select("quad_key")
+    hits = index.where(g.meets(F.struct("minx", "miny", "maxx", "maxy"), rng)).select(F.concat(F.lit("q"), "quad_key").alias(FOLDER))
     # the index, a row for each tile, prunes the folders that are read
-    data = load(spark, path).join(hits.withColumnRenamed("quad_key", "__quad_key"), "__quad_key", "left_semi")
-    ref = g.centre(g.intersection(F.col("__mbr"), rng))
-    owner = t.quadkey(t.tile_x(ref["x"], zoom), t.tile_y(ref["y"], zoom), zoom)
+    data = _keyed(spark.read.parquet(f"{path}/data").join(hits, FOLDER, "left_semi"))
+    b = F.col("__mbr")
+    middle = lambda low, high, a, z: (F.greatest(b[low], F.lit(float(a))) + F.least(b[high], F.lit(float(z)))) / 2
+    owner = t.quadkey(t.tile_x(middle("minx", "maxx", minx, maxx), zoom), t.tile_y(middle("miny", "maxy", miny, maxy), zoom), zoom)
     return data.where(g.meets(F.col("__mbr"), rng) & (owner == F.col("__quad_key")))

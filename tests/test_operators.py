@@ -193,6 +193,13 @@ def test_a_tile_with_most_rows_is_stored_whole(spark, tmp_path):
     assert clusters.range_query(spark, str(tmp_path / "c"), 10.0, 10.0, 10.5, 10.5, 6).count() == 2901
 
 
+def test_keys_with_leading_zeros_are_stored_whole(spark, tmp_path):
+    boxes = spark.range(50).select("id", g.envelope(*[F.col("id") * k + o for k, o in ((1, -150.0), (0.5, 30.0), (1, -149.5), (0.5, 30.4))]).alias("box"))
+    clusters.store(boxes, "box", str(tmp_path / "c"), 6)
+    assert clusters.load(spark, str(tmp_path / "c")).where(F.length("__quad_key") != 6).count() == 0
+    assert clusters.range_query(spark, str(tmp_path / "c"), -140.2, 0.0, -130.0, 80.0, 6).count() == 11
+
+
 def test_text_and_time_corners(spark):
     from geosluice.functions import temporal as tm
 
